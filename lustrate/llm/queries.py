@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from lustrate.llm import exact_dedup, sharding, url_filter, warc
+from lustrate.llm import bpe, exact_dedup, sharding, url_filter, warc
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op5_warc_revisits": warc.op5_warc_revisits,
+    "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
     "op7_url_rules": url_filter.op7_url_rules,
     "op10_radix_dedup": exact_dedup.op10_radix_dedup,
 }
