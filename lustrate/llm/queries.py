@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from lustrate.llm import bpe, exact_dedup, near_dedup, sharding, url_filter, warc
+from lustrate.llm import bpe, exact_dedup, language_id, near_dedup, sharding, url_filter, warc
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op5_warc_revisits": warc.op5_warc_revisits,
     "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
     "op7_url_rules": url_filter.op7_url_rules,
+    "op8_language_id": language_id.op8_language_id,
     "op9_bottomk_near_dedup": near_dedup.op9_bottomk_near_dedup,
     "op10_radix_dedup": exact_dedup.op10_radix_dedup,
 }
