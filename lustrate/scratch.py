@@ -41,6 +41,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def write_bytes(self, label: str, data: bytes) -> str:
+        """One small file of the driver's, for ``addFile``; returns its path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(label))
+        out = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        return self.path(label)
+
     def drop(self, *labels: str) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
