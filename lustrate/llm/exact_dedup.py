@@ -38,7 +38,7 @@ def radix_groups(rows: DataFrame, scratch: Scratch, first: int = FIRST_BYTES, gr
         # A digit that is not full holds the end of its texts; a single row needs no further look.
         digits = digits.withColumn("_open", F.octet_length("_digit") == width).withColumn("_next", F.monotonically_increasing_id())
         digits = scratch.save(digits, f"digits{level}")
-        joined = open_rows.withColumn("_digit", digit).join(digits, ["_group", "_digit"], "left").drop("_group", "_digit")
+        joined = open_rows.withColumn("_digit", digit).join(digits.hint("merge"), ["_group", "_digit"], "left").drop("_group", "_digit")
         split = joined.withColumns({
             "_open": F.coalesce("_open", F.lit(False)), "group_size": F.coalesce("group_size", F.lit(1)),
             "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
