@@ -22,8 +22,10 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lustrate.scratch import Scratch
 
@@ -165,18 +167,20 @@ def fit(labelled: DataFrame, vocab_path: str, per_language: int = PER_LANGUAGE)
     return languages, probs
 
 
-def predict(docs: DataFrame, vocab_path: str, languages: list[str], probs: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, text, and others that are kept) with lang_pred and score in place of text."""
+def predict(docs: DataFrame, vocab_path: str, languages: list[str], probs: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """``docs`` (text, and others that are kept) with lang_pred and score; text goes unless it is kept."""
     held = docs.sparkSession.sparkContext.broadcast(probs)
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "lang_pred string", "score double"])
+    docs = docs.drop("lang_pred", "score")
+    others = [c for c in docs.columns if keep_text or c != "text"]
+    schema = StructType([*(docs.schema[c] for c in others), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         vocab, rows, table = pieces(vocab_path), {}, np.zeros((0, len(languages)))
         for batch in batches:
             names, scores = [], []
-            for at in range(0, len(batch), TOGETHER):
-                texts = [parts(t) if t else [] for t in batch["text"].iloc[at : at + TOGETHER]]
+            given = batch.column("text")
+            for at in range(0, len(given), TOGETHER):
+                texts = [parts(t) if t else [] for t in given.slice(at, TOGETHER).to_pylist()]
                 new = list(set().union(*texts) - rows.keys())
                 if len(rows) + len(new) > MEMO:
                     rows, table, new = {}, table[:0], list(set().union(*texts))
@@ -192,11 +196,9 @@ def predict(docs: DataFrame, vocab_path: str, languages: list[str], probs: np.nd
                     best = int(logs.argmax())
                     names.append(languages[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
-            out = batch[others].copy()
-            out["lang_pred"], out["score"] = names, scores
-            yield out
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id):
@@ -204,12 +206,15 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def learn(docs: DataFrame, vocab_path: str) -> tuple[list[str], np.ndarray]:
+    """``fit`` on the labelled rows of ``docs`` (doc_id, text, lang) that are not held out."""
+    return fit(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), vocab_path)
+
+
 def identify(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
-    marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    labelled = marked.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    languages, probs = fit(labelled, vocab_path)
-    return predict(marked.select("doc_id", "held_out", "text"), vocab_path, languages, probs)
+    languages, probs = learn(docs, vocab_path)
+    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), vocab_path, languages, probs)
 
 
 def default_vocabulary() -> str:

@@ -19,9 +19,10 @@ alike; an empty table gives no rows; other columns are passed over.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lustrate.llm.hashing import word_hashes
 from lustrate.scratch import Scratch, small
@@ -53,15 +54,14 @@ def text_features(texts: list[bytes]) -> np.ndarray:
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``x`` (array of features) in place of ``text``."""
     others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "x array<double>"])
+    schema = StructType([*(docs.schema[c] for c in others), StructField("x", ArrayType(DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            out = batch[others].copy()
-            out["x"] = list(text_features([(t or "").encode("utf-8", "replace") for t in batch["text"]]))
-            yield out
+            x = text_features([(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(list(x), pa.list_(pa.float64()))], [*others, "x"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[float, np.ndarray]:

@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from lustrate.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, sharding, url_filter, warc
+from lustrate.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, sharding, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+    "op2_suffix_repeats": suffix_dedup.op2_suffix_repeats,
     "op3_hierarchical_quality": quality.op3_hierarchical_quality,
     "op4_latent_decontamination": decontaminate.op4_latent_decontamination,
     "op5_warc_revisits": warc.op5_warc_revisits,
