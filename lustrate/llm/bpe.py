@@ -22,7 +22,6 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import uuid
 from array import array
 from collections import Counter
@@ -321,13 +320,12 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: int = LEXICON, with_ids: b
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(vocab_path)
-    chosen = frequent_words(docs, vocab_path, Scratch(spark, "bpe"), lexicon)
+    scratch = Scratch(spark, "bpe")
+    chosen = frequent_words(docs, vocab_path, scratch, lexicon)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        # Spark copies the file to every executor, also to ones that join later.
-        with open(f"{folder}/{name}", "wb") as f:
-            f.write(compile_lexicon({w.encode("utf-8"): vocab.merge(w.encode("utf-8")) for w in chosen}))
-        spark.sparkContext.addFile(f"{folder}/{name}")
+    data = compile_lexicon({w.encode("utf-8"): vocab.merge(w.encode("utf-8")) for w in chosen})
+    # The file lies in the shared folder; Spark copies it to every executor, also to later ones.
+    spark.sparkContext.addFile(scratch.write_bytes(name, data))
 
     def run(batches):
         vocab = vocabulary(vocab_path)
