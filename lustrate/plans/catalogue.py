@@ -1,4 +1,7 @@
 """The library's queries by name, and the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lustrate.plans import text_queries
+
+PARTS = (text_queries,)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
