@@ -58,6 +58,17 @@ def check_tree(root: str) -> None:
                 raise UnsafeInput(f"not a plain file or folder: {name}")
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files without bytes, which Spark's file scans leave out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            found.append(status.getPath().toString())
+    return found
+
+
 def read_corpus(spark: SparkSession, root: str, method: str = "sha2-256") -> DataFrame:
     """artifact_id, source_locator_hash, rel, size_bytes, artifact_type, content of every file."""
     if "://" not in root:
@@ -65,7 +76,8 @@ def read_corpus(spark: SparkSession, root: str, method: str = "sha2-256") -> Dat
         check_tree(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + _quoted(root) + "/*", "")
-    named = files.select(F.expr("url_decode(replace(_, '+', '%2B'))".replace("_", "path")).alias("path"), "length", "content").withColumn("rel", rel)
+    empty = spark.createDataFrame([(p, 0, bytearray()) for p in empty_files(spark, root)], "path string, length long, content binary")
+    named = files.select("path", "length", "content").unionByName(empty).withColumn("rel", rel)
     return named.select(
         digest(F.col("content"), method).alias("artifact_id"), digest(F.col("rel"), method).alias("source_locator_hash"), "rel",
         F.col("length").alias("size_bytes"), artifact_type(F.col("rel")).alias("artifact_type"), "content",
