@@ -8,9 +8,9 @@ holds a third of the table is split over tasks by AQE. Rows still open are writt
 folder, without the bytes already used, before the next round. Their number of rounds follows the
 longest text with an equal prefix: widths grow sixteenfold.
 
-Results for odd input: a null text counts as empty; null ids lose to any other id, and a group with
-null ids only keeps null (``kept`` is then false for no row: null equals null); rows with the same
-id and text all carry that id's verdict; an empty table gives no rows.
+Results for odd input: a null text counts as empty; null ids lose to any other id; a group that has
+null ids only keeps null, and all its rows; rows with the same id and text all carry that id's
+verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
