@@ -2,16 +2,20 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes). Texts with equal sets form a class,
    found by partial aggregation; only one text of each class goes on, so copies never make pairs.
-2. The sketch of a text is the ``k`` smallest hashes of its set. The ``LISTED`` smallest are entered
-   in inverted lists. Two texts at the threshold share at least ``SHARED`` of these (it fails with
-   a chance of 1e-9), so each text may leave its ``SHARED - 1`` most frequent values out of the
-   lists (prefix filtering): shingles of lines that many texts hold make no candidates.
+2. The sketch of a text is the ``SKETCH`` smallest hashes of its set. The ``LISTED`` smallest are
+   entered in inverted lists. Two texts at the threshold share at least ``SHARED`` of these (it fails
+   with a chance under 1e-6 for each pair at the very threshold), so each text may leave its
+   ``SHARED - 1`` most frequent values out of the lists (prefix filtering): shingles of lines that
+   many texts hold make few candidates.
 3. Hub round: in each list, texts are paired with its smallest id. Pairs that the overlap in the
    sketch of their union rules out (under ``LOOSE``; again 1e-8) go; the others are compared by their
    full sets. Verified links give components by alternating large-star and small-star steps.
-4. Rest round: lists that still hold several components give all pairs between components that
-   share enough listed values, each pair once; these are filtered and verified in the same way.
-   So a group of mutually near copies costs one pair a text, and no link is lost.
+4. Rest rounds: the texts in lists that still hold several components enter lists by their whole
+   sets, without the most frequent four fifths of each (exact prefix filtering: a linked pair must
+   meet in the rest). First, a few random hubs of each list are paired with the texts of other
+   components, ``ROUNDS`` times: this joins loose groups, whose texts differ too much from any single
+   hub, at a few pairs a text. Then all pairs between the components that are left are filtered and
+   verified in the same way, so no link is lost.
 
 Results for odd input: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; rows with one doc_id count as one document; a row with a null id is compared
@@ -30,7 +34,9 @@ from lustrate.llm.hashing import mix, shingle_sets
 from lustrate.scratch import Scratch, small
 
 #: Sketch size, values entered in lists, values that similar texts share, and the sketch's floor.
-SKETCH, LISTED, SHARED, LOOSE = 64, 24, 6, 0.5
+SKETCH, LISTED, SHARED, LOOSE = 128, 32, 13, 0.6
+#: Rounds of random hubs, hubs of a list in each, and lists of a text that take part.
+ROUNDS, HUBS, LISTS = 3, 8, 4
 NEEDED_BYTES = 16 << 20
 
 
@@ -99,6 +105,36 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, wi
     return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long"), label)
 
 
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, value): all shingles of the texts of ``nodes`` (node, n; a saved table)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets([t.encode("utf-8", "replace") for t in batch["text"]], width)
+            yield batch[["node", "n"]].assign(values=[s.view(np.int64) for s in sets])
+
+    texts = docs.join(small(nodes, 40, NEEDED_BYTES), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]).select("node", "n", "text")
+    return texts.mapInPandas(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
+
+
+def between(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """``entries`` with their component, in lists that hold more than one component."""
+    placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
+    return placed.join(mixed, "value", "left_semi")
+
+
+def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that were not compared before, in either order."""
+    turned = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
+
+
+def grown(comps: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """Components after more links."""
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links), scratch, label)
+
+
 def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -126,29 +162,37 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100)
     links = verified(first, docs, scratch, "links", width, num, den)
     comps = components(links, scratch, "comps")
 
-    placed = kept.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
-    open_entries = placed.join(mixed, "value", "left_semi")
-    lists = open_entries.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("values"))
-    full = scratch.save(open_entries.join(lists, "node").join(nodes.select("node", F.slice("sketch", 1, LISTED).alias("listed")), "node"), "open")
-    side = lambda x: full.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "values", "listed")])
-    once = F.array_min(F.array_intersect("values_a", "values_b")) == F.col("value")
-    enough = F.size(F.array_intersect("listed_a", "listed_b")) >= F.least(F.lit(SHARED), F.ceil(F.least("n_a", "n_b") * num / den))
+    open_nodes = scratch.save(between(kept, comps).groupBy("node").agg(F.first("n").alias("n")), "open")
+    full = whole_sets(docs, open_nodes, width)
+    frequent = full.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
+    shared = full.join(frequent, "value")
+    ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("lists", "value")) + F.col("n") - F.count("*").over(of_node))
+    last = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    prefix = scratch.save(ranked.where(F.col("rank") <= last).select("value", "node", "n", (F.col("rank") > last - LISTS).alias("late")), "prefix")
     sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    rest = side("a").join(side("b"), "value").where((F.col("comp_a") < F.col("comp_b")) & sizes & once & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    # Pairs with a hub were compared before.
-    rest = rest.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    rest = scratch.save(likely(rest, nodes, num, den), "rest")
-    if rest.head(1):
-        more = verified(rest, docs, scratch, "more", width, num, den)
-        joined = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
-        comps = components(joined, scratch, "all")
+    tried = first
+    for turn in range(ROUNDS):
+        entries = between(prefix.where("late"), comps)
+        chosen = entries.groupBy("value").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))) for i in range(HUBS)])).alias("hubs"))
+        chosen = chosen.select("value", F.explode("hubs").alias("u")).select("value", "u.b", "u.n_b", "u.comp_b").distinct()
+        pairs = entries.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), "comp").join(chosen, "value").where((F.col("comp") != F.col("comp_b")) & sizes).select("a", "b").distinct()
+        pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den), f"hubs{turn}")
+        if not pairs.head(1):
+            break
+        tried = scratch.save(tried.unionByName(pairs), f"tried{turn}")
+        comps = grown(comps, verified(pairs, docs, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
+
+    rest = between(prefix, comps)
+    side = lambda x: rest.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")])
+    pairs = side("a").join(side("b"), "value").where((F.col("comp_a") < F.col("comp_b")) & sizes).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den), "rest")
+    if pairs.head(1):
+        comps = grown(comps, verified(pairs, docs, scratch, "more", width, num, den), scratch, "all")
 
     of_class = classes.join(comps, "node", "left").select(*keys, F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc_id", *keys).join(scratch.save(of_class, "of_class"), keys, "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    scratch.drop("nodes", "entries", "placed", "open", "first", "rest", "links-texts", "more-texts")
+    scratch.drop("nodes", "entries", "open", "prefix", "first", "rest", "links-texts", "more-texts", *[f"{x}{i}{y}" for i in range(ROUNDS) for x, y in (("hubs", ""), ("tried", ""), ("found", ""), ("found", "-texts"))])
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
