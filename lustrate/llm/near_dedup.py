@@ -7,15 +7,18 @@
    with a chance under 1e-6 for each pair at the very threshold), so each text may leave its
    ``SHARED - 1`` most frequent values out of the lists (prefix filtering): shingles of lines that
    many texts hold make few candidates.
-3. Hub round: in each list, texts are paired with its smallest id. Pairs that the overlap in the
-   sketch of their union rules out (under ``LOOSE``; again 1e-8) go; the others are compared by their
-   full sets. Verified links give components by alternating large-star and small-star steps.
+3. Hub round: in each list, texts are paired with its smallest id. Pairs whose overlap in the sketch
+   of their union lies ``SPREAD`` standard deviations under the threshold go (a draw without
+   replacement, so a sketch that holds the whole union decides exactly); the others are compared by
+   their full sets. Verified links give components by alternating large-star and small-star steps.
 4. Rest rounds: the texts in lists that still hold several components enter lists by their whole
    sets, without the most frequent four fifths of each (exact prefix filtering: a linked pair must
    meet in the rest). First, a few random hubs of each list are paired with the texts of other
    components, ``ROUNDS`` times: this joins loose groups, whose texts differ too much from any single
-   hub, at a few pairs a text. Then all pairs between the components that are left are filtered and
-   verified in the same way, so no link is lost.
+   hub, at a few pairs a text. Then the pairs between the components that are left are filtered and
+   verified in the same way, so no link is lost. In a list they meet only where enough values follow
+   in both texts for the overlap that their sizes ask for (positional filtering): texts with many
+   values of their own, which no hub has joined, make few pairs even in the lists of a large group.
 
 Results for odd input: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; rows with one doc_id count as one document; a row with a null id is compared
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from lustrate.llm.hashing import mix, shingle_sets
 from lustrate.scratch import Scratch, small
 
-#: Sketch size, values entered in lists, values that similar texts share, and the sketch's floor.
-SKETCH, LISTED, SHARED, LOOSE = 128, 32, 13, 0.6
+#: Sketch size, values entered in lists, values that similar texts share, and the sketch's leeway.
+SKETCH, LISTED, SHARED, SPREAD = 128, 32, 13, 6.0
 #: Rounds of random hubs, hubs of a list in each, and lists of a text that take part.
 ROUNDS, HUBS, LISTS = 3, 8, 4
 NEEDED_BYTES = 16 << 20
@@ -85,7 +88,11 @@ def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
     sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    return joined.where(sizes).withColumn("u", union).where(shared >= F.size("u") * LOOSE).select("a", "b")
+    at, seen = num / den, F.size("u")
+    # The union's size at the threshold; more similar texts have a smaller union.
+    whole = (F.col("na") + F.col("nb")) * den / (num + den)
+    leeway = SPREAD * F.sqrt(F.greatest(F.lit(0.0), 1 - seen / whole) * (at * (1 - at)) / seen) + 1e-9
+    return joined.where(sizes).withColumn("u", union).where(shared >= seen * (at - leeway)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, width: int, num: int, den: int) -> DataFrame:
@@ -168,7 +175,7 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100)
     shared = full.join(frequent, "value")
     ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("lists", "value")) + F.col("n") - F.count("*").over(of_node))
     last = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    prefix = scratch.save(ranked.where(F.col("rank") <= last).select("value", "node", "n", (F.col("rank") > last - LISTS).alias("late")), "prefix")
+    prefix = scratch.save(ranked.where(F.col("rank") <= last).select("value", "node", "n", "rank", (F.col("rank") > last - LISTS).alias("late")), "prefix")
     sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     tried = first
     for turn in range(ROUNDS):
@@ -183,8 +190,11 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100)
         comps = grown(comps, verified(pairs, docs, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
 
     rest = between(prefix, comps)
-    side = lambda x: rest.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")])
-    pairs = side("a").join(side("b"), "value").where((F.col("comp_a") < F.col("comp_b")) & sizes).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    side = lambda x: rest.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "rank", "comp")])
+    # At the first value that two texts share, what follows in both bounds the size of their intersection.
+    bound = F.least(F.expr("n_a - rank_a"), F.expr("n_b - rank_b")) + 1
+    enough = bound * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    pairs = side("a").join(side("b"), "value").where((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den), "rest")
     if pairs.head(1):
         comps = grown(comps, verified(pairs, docs, scratch, "more", width, num, den), scratch, "all")
