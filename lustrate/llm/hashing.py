@@ -12,6 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 BUFFER = 1 << 20
+#: Bytes of text whose shingles are held at a time; a single longer text is a portion of its own.
+PORTION = 4 << 20
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SHINGLE = np.random.default_rng(7).integers(1, 2**63, 16, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -91,6 +93,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, dtype=U64), np.concatenate([[0], np.cumsum(counts)])
 
 
+def portions(sizes) -> list[slice]:
+    """Slices of adjacent rows with at most ``PORTION`` bytes of text each, or one row."""
+    cuts, held = [0], 0
+    for i, size in enumerate(sizes):
+        if held and held + size > PORTION:
+            cuts.append(i)
+            held = 0
+        held += size
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(sizes)]) if a < b]
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of the ``width``-word shingles of each text; the whole sequence of a
     shorter text is its only shingle, and a text without words has none."""

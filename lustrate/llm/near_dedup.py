@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lustrate.llm.hashing import mix, shingle_sets
+from lustrate.llm.hashing import mix, portions, shingle_sets
 from lustrate.scratch import Scratch, small
 
 #: Sketch size, values entered in lists, values that similar texts share, and the sketch's leeway.
@@ -49,12 +49,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch["text"]]
-            sets = shingle_sets(texts, width)
-            keys = [[mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64) for s in sets] for c in (1, 2)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key1": keys[0], "key2": keys[1],
-                "sketch": [np.sort(s[:SKETCH].view(np.int64)) for s in sets],
-            })
+            for part in portions([len(t) for t in texts]):
+                sets = shingle_sets(texts[part], width)
+                keys = [[mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64) for s in sets] for c in (1, 2)]
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[part].astype("Int64").array, "n": [len(s) for s in sets], "key1": keys[0], "key2": keys[1],
+                    "sketch": [np.sort(s[:SKETCH].view(np.int64)) for s in sets],
+                })
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key1 long, key2 long, sketch array<long>")
 
@@ -103,11 +104,13 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, wi
 
     def compare(batches):
         for batch in batches:
-            sets = shingle_sets([t.encode("utf-8", "replace") for t in [*batch["ta"], *batch["tb"]]], width)
-            half = len(batch)
-            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64) - shared
-            yield batch[["a", "b"]][den * shared >= num * union]
+            for part in portions((batch["ta"].str.len() + batch["tb"].str.len()).tolist()):
+                some = batch.iloc[part]
+                sets = shingle_sets([t.encode("utf-8", "replace") for t in [*some["ta"], *some["tb"]]], width)
+                half = len(some)
+                shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64)
+                union = np.array([len(x) + len(y) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64) - shared
+                yield some[["a", "b"]][den * shared >= num * union]
 
     return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long"), label)
 
@@ -117,8 +120,10 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets([t.encode("utf-8", "replace") for t in batch["text"]], width)
-            yield batch[["node", "n"]].assign(values=[s.view(np.int64) for s in sets])
+            for part in portions(batch["text"].str.len().tolist()):
+                some = batch.iloc[part]
+                sets = shingle_sets([t.encode("utf-8", "replace") for t in some["text"]], width)
+                yield some[["node", "n"]].assign(values=[s.view(np.int64) for s in sets])
 
     texts = docs.join(small(nodes, 40, NEEDED_BYTES), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]).select("node", "n", "text")
     return texts.mapInPandas(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
