@@ -62,11 +62,14 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """For each suffix whether it is smaller than the one that starts a byte later."""
     n = len(text)
     step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
     step[-1] = -1
     # Equal bytes take the answer of the next unequal place.
-    place = np.where(step != 0, np.arange(n), n)
-    return step[np.minimum.accumulate(place[::-1])[::-1]] > 0
+    place = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
+    place[step == 0] = n
+    turned = place[::-1]
+    np.minimum.accumulate(turned, out=turned)
+    return step[place] > 0
 
 
 def sort_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -137,32 +137,38 @@ def repeats_in(rows: list[tuple]) -> pd.DataFrame:
     sizes = np.array([len(c) + 1 for c in cuts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(c + bytes([END]) for c in cuts), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(cuts)), sizes)
-    inside = np.arange(len(text)) - begins[owner]
-    string = inside < (sizes - LENGTH)[owner]
     doc, tag, start = (np.array(x, dtype=np.int64) for x in (doc, tag, start))
-    # The place of each segment in the order of documents; strings of one document go by their start.
+    # Segments in the order of documents, and by their start within one: so are their strings numbered.
+    # Rows with equal id and text bring the same segment twice, with the same numbers.
     order = np.lexsort((start, tag, doc))
-    rank = np.empty(len(cuts), dtype=np.int64)
-    rank[order] = np.arange(len(cuts))
-    new = np.ones(len(cuts), dtype=bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])
-    of_text = np.empty(len(cuts), dtype=np.int64)
-    of_text[order] = np.cumsum(new)
-    place = (of_text[owner] << 40) + start[owner] + inside
+    again = np.zeros(len(cuts), dtype=bool)
+    again[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (doc, tag, start)])
+    strings = sizes[order] - LENGTH
+    firsts = np.cumsum(np.where(again, 0, strings)) - strings
+    numbers = np.empty(len(cuts), dtype=np.int64)
+    numbers[order] = firsts
+    # Narrow types, and nothing kept that can be made again: the sort needs the memory.
+    kind = np.int32 if len(text) < 2**31 else np.int64
+    place = np.repeat((numbers - begins).astype(kind), sizes) + np.arange(len(text), dtype=kind)
+    string = np.ones(len(text), dtype=bool)
+    for k in range(LENGTH):
+        string[begins + sizes - 1 - k] = False
     positions, prefixes = zip(*sorted_suffixes(text, LENGTH))
-    positions, prefixes = np.concatenate(positions).astype(np.int64), np.concatenate(prefixes)
-    group = np.cumsum(prefixes < LENGTH)
+    positions, prefixes = np.concatenate(positions), np.concatenate(prefixes)
+    group = np.cumsum(prefixes < LENGTH, dtype=kind)
+    del prefixes
     kept = string[positions]
     positions, group = positions[kept], group[kept]
+    del kept, string
     firsts = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.repeat(np.minimum.reduceat(place[positions], firsts), np.diff(np.append(firsts, len(group)))) if len(group) else np.zeros(0)
     repeat = np.zeros(len(text) + 1, dtype=np.int8)
     repeat[positions[place[positions] > least]] = 1
     edges = np.flatnonzero(np.diff(repeat, prepend=0))
     low, high = edges[::2], edges[1::2]
-    of = owner[low]
-    return pd.DataFrame({"doc": doc[of], "tag": tag[of], "low": start[of] + inside[low], "high": start[of] + inside[low] + (high - low) - 1 + LENGTH})
+    of = np.searchsorted(begins, low, side="right") - 1
+    first = start[of] + low - begins[of]
+    return pd.DataFrame({"doc": doc[of], "tag": tag[of], "low": first, "high": first + (high - low) - 1 + LENGTH})
 
 
 def sort_shards(cuts: DataFrame) -> DataFrame:
