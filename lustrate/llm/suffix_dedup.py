@@ -224,7 +224,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = scratch.save(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     of_text = scratch.save(marks(found.join(shared, "anchor", "left_semi")), "marks")
     scratch.drop("anchors")
-    marked = lambda table: texts.join(small(table, 1024, MARKS_BYTES), ["doc", "tag"])
+    # Always a merge join: the marks grow with the texts, and their plan must not depend on the size.
+    marked = lambda table: texts.join(table.hint("merge"), ["doc", "tag"])
     places = scratch.save(cut_segments(marked(of_text), False), "places")
     scratch.drop("marks")
     order = F.struct("doc", "tag", "start", "count")
@@ -240,8 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = scratch.save(ranges.select("doc", "tag", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), "ranges")
     scratch.drop("places", "earliest", "distinct", "sorted")
 
-    ranges = small(ranges, 512, MARKS_BYTES)
-    own = rows.where(first).select("doc_id", "doc", "tag", "bytes").join(ranges, ["doc", "tag"], "left")
+    own = rows.where(first).select("doc_id", "doc", "tag", "bytes").join(ranges.hint("merge"), ["doc", "tag"], "left")
     kept = cut_texts(own)
     copies = rows.where(~first)
     gone = F.octet_length("bytes") >= LENGTH
