@@ -171,6 +171,26 @@ def test_leaks_copied_and_paraphrased(spark):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
 
 
+def test_leaks_of_long_items_and_heavy_paraphrases(spark):
+    """Copies of items far longer than a window, and of items with 30 to 38% of their words changed."""
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(4000)]
+    prose = lambda n: [str(w) for w in rng.choice(words, n)]
+    items = [prose((30, 60, 200, 600)[i % 4]) for i in range(24)]
+    texts, truth = [prose(300) for _ in range(60)], set()
+    for k, item in enumerate(items):
+        copy = list(item)
+        for rate, doc in ((0.0, k), (0.3 + 0.04 * (k % 3), k + 30)):
+            # Changed words are spread over the item and leave its answer.
+            for at in rng.choice(np.arange(5, len(item)), int(rate * len(item)), replace=False):
+                copy[at] = str(rng.choice(words))
+            texts[doc][100:100] = copy
+            truth.add((doc, k))
+    bench = spark.createDataFrame([(i, " ".join(t), " ".join(t[:5])) for i, t in enumerate(items)], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == truth
+
+
 def test_candidate_recall_on_planted_passages(spark, sf_dir):
     """Every planted passage of the smallest tables, found by plain search for eight words."""
     tables = {t: duckdb.sql(f"SELECT * FROM '{sf_dir}/{t}.parquet'").df() for t in ("documents", "benchmark")}
