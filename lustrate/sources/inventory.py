@@ -69,13 +69,20 @@ def empty_files(spark: SparkSession, root: str) -> list[str]:
     return found
 
 
+def relative(path: Column, root: str) -> Column:
+    """The part of ``path`` below the folder ``root``: equal names in two folders stay apart."""
+    if "://" not in root:
+        root = os.path.abspath(root.removeprefix("file:"))
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), "^" + _quoted(root) + "/*", "")
+
+
 def read_corpus(spark: SparkSession, root: str, method: str = "sha2-256") -> DataFrame:
     """artifact_id, source_locator_hash, rel, size_bytes, artifact_type, content of every file."""
     if "://" not in root:
         root = os.path.abspath(root)
         check_tree(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + _quoted(root) + "/*", "")
+    rel = relative(F.col("path"), root)
     empty = spark.createDataFrame([(p, 0, bytearray()) for p in empty_files(spark, root)], "path string, length long, content binary")
     named = files.select("path", "length", "content").unionByName(empty).withColumn("rel", rel)
     return named.select(

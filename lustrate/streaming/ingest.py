@@ -21,7 +21,7 @@ def watch(spark: SparkSession, folder: str, policy: Policy, out: str, checkpoint
     """Judges the files that are there and those that come; states go to Parquet below ``out``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    rel = F.element_at(F.split("path", "/"), -1)
+    rel = inventory.relative(F.col("path"), folder)
     artifacts = files.select(
         digest(F.col("content"), method).alias("artifact_id"), digest(rel, method).alias("source_locator_hash"), rel.alias("rel"),
         F.col("length").alias("size_bytes"), inventory.artifact_type(rel).alias("artifact_type"), "content",

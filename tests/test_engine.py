@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lustrate.__main__ import main
 from lustrate.functions.digests import blake3
@@ -197,3 +198,21 @@ def test_streaming(spark, tmp_path):
     for _ in range(2):
         watch(spark, source, rules, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r["state"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["QUARANTINED", "VERIFIED"]
+
+
+def test_streaming_of_equal_files_in_two_folders(spark, tmp_path):
+    from lustrate.functions.digests import digest
+    from lustrate.streaming.ingest import watch
+
+    source = corpus(tmp_path, {"x.txt": "SECRET"})
+    for folder in ("a", "b"):
+        (Path(source) / folder).mkdir()
+        (Path(source) / folder / "x.txt").write_text("say SECRET once")
+        (Path(source) / folder / "t.csv").write_text("k,v\n1,SECRET\n")
+    rules = compile_policy({"schema_version": "policy.v1", "classes": [SECRET], "defaults": {}, "scopes": []})
+    watch(spark, source, rules, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    states = spark.read.parquet(f"{tmp_path}/out")
+    got = {(r["rel"], r["state"]) for r in states.collect()}
+    assert states.count() == 5 and got == {(p, "VERIFIED") for p in ("x.txt", "a/x.txt", "b/x.txt", "a/t.csv", "b/t.csv")}
+    assert states.where(digest(F.col("rel"), "sha2-256") == F.col("source_locator_hash")).count() == 5
+    assert {r["output"].count("say") for r in states.where("rel LIKE '%/x.txt'").collect()} == {1}
