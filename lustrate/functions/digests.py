@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,6 +60,41 @@ def blake3(data: bytes, key: bytes | None = None) -> bytes:
     return struct.pack("<8I", *_node(data, words, KEYED if key else 0, 0, ROOT))
 
 
+class Blake3:
+    """BLAKE3-256 of data that comes piece by piece; holds one chunk and one node for each level."""
+
+    def __init__(self):
+        self.left, self.chunks, self.stack = b"", 0, []
+
+    def update(self, data: bytes) -> None:
+        self.left += data
+        while len(self.left) > 1024:  # the last chunk stays, as it may be the root
+            node, self.left = _node(self.left[:1024], IV, 0, self.chunks, 0), self.left[1024:]
+            self.chunks += 1
+            done = self.chunks
+            while done % 2 == 0:
+                node, done = _compress(IV, struct.pack("<16I", *self.stack.pop(), *node), 0, PARENT), done // 2
+            self.stack.append(node)
+
+    def digest(self) -> bytes:
+        stack = list(self.stack)
+        node = _node(self.left, IV, 0, self.chunks, 0 if stack else ROOT)
+        while stack:
+            left = stack.pop()
+            node = _compress(IV, struct.pack("<16I", *left, *node), 0, PARENT | (0 if stack else ROOT))
+        return struct.pack("<8I", *node)
+
+
+def fold(pieces: Iterable[bytes | None], method: str = "sha2-256") -> tuple[bytes, int]:
+    """Digest of the pieces in their order (null ones add nothing), never held together, and their number."""
+    state, n = Blake3() if method == "blake3" else hashlib.sha256(), 0
+    for piece in pieces:
+        n += 1
+        if piece is not None:
+            state.update(piece)
+    return state.digest(), n
+
+
 @F.pandas_udf(StringType())
 def blake3_hex(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else blake3(bytes(x)).hex())

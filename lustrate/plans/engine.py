@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lustrate import __version__
-from lustrate.functions.digests import blake3, digest
+from lustrate.functions.digests import blake3, digest, fold
 from lustrate.operators import detect, evidence, rewrite, tables, units
 from lustrate.plans.policy import Limits, Policy, PolicyError, load_limits, load_policy
 from lustrate.scratch import Scratch
@@ -105,8 +105,8 @@ def run(spark: SparkSession, input_dir: str, output_dir: str, policy_dir: str, l
     except inventory.UnsafeInput as e:
         print(f"fatal: {e}")
         return FATAL
-    ids = [r["artifact_id"] for r in artifacts.select(*IDS).orderBy(*IDS).toLocalIterator()]
-    corpus_id = hashed(b"".join(map(bytes.fromhex, ids)), method)
+    ids = artifacts.select(*IDS).orderBy(*IDS).toLocalIterator()
+    corpus_id = fold((bytes.fromhex(r["artifact_id"]) for r in ids), method)[0].hex()
     run_id = hashed(__version__.encode() + bytes.fromhex(policy.policy_id) + bytes.fromhex(corpus_id), method)
     key = hashed(b"lustrate.proof.key" + bytes.fromhex(run_id) + (secret if secret is not None else bytes.fromhex(corpus_id)), method)
     if (pack / ".run").exists() and (pack / ".run").read_text() != run_id:

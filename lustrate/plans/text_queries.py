@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lustrate.functions.digests import digest
+from lustrate.functions.digests import digest, fold
 from lustrate.operators import detect, rewrite
 from lustrate.plans.policy import Detector, Policy, PolicyClass
 
@@ -71,10 +71,10 @@ def artifact_identity_sort(spark, sf_dir):
 
 @query("SELECT sha256(string_agg(id, '' ORDER BY id, loc)) AS input_corpus_id, count(*) AS artifacts FROM (SELECT sha256(text) AS id, sha256('docs/' || doc_id || '.txt') AS loc FROM documents)")
 def corpus_id_fold(spark, sf_dir):
-    # Ids of 64 letters in sort order; a corpus of n artifacts folds 64 n bytes in one row, as its definition asks.
-    ids = artifact_identity_sort(spark, sf_dir)
-    folded = ids.agg(F.sort_array(F.collect_list(F.struct("artifact_id", "source_locator_hash"))).alias("ids"), F.count("*").alias("artifacts"))
-    return folded.select(digest(F.array_join(F.col("ids.artifact_id"), "")).alias("input_corpus_id"), "artifacts")
+    # Ids come in sort order from Spark's range sort, partition by partition; no row or list holds the corpus.
+    ids = artifact_identity_sort(spark, sf_dir).select("artifact_id")
+    folded, n = fold(r["artifact_id"] and r["artifact_id"].encode() for r in ids.toLocalIterator())
+    return spark.createDataFrame([(folded.hex(), n)], "input_corpus_id string, artifacts long")
 
 
 def count_query(name: str, detector: Detector, sql_count: str) -> None:

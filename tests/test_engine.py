@@ -216,3 +216,25 @@ def test_streaming_of_equal_files_in_two_folders(spark, tmp_path):
     assert states.count() == 5 and got == {(p, "VERIFIED") for p in ("x.txt", "a/x.txt", "b/x.txt", "a/t.csv", "b/t.csv")}
     assert states.where(digest(F.col("rel"), "sha2-256") == F.col("source_locator_hash")).count() == 5
     assert {r["output"].count("say") for r in states.where("rel LIKE '%/x.txt'").collect()} == {1}
+
+
+def test_corpus_id_is_folded_without_a_list(spark, sf_dir, monkeypatch):
+    """The digest piece by piece is the digest of the whole, and no row of the plan lists the corpus."""
+    import hashlib
+
+    from lustrate.functions.digests import fold
+    from lustrate.plans.text_queries import corpus_id_fold
+
+    for n in (0, 1, 31, 32, 33, 64, 65, 97, 200):
+        ids = [hashlib.sha256(bytes([i])).digest() for i in range(n)]
+        assert fold(iter(ids), "blake3") == (blake3(b"".join(ids)), n)
+        assert fold(iter(ids)) == (hashlib.sha256(b"".join(ids)).digest(), n)
+    assert fold([b"a", None]) == (hashlib.sha256(b"a").digest(), 2)
+
+    def refuse(*columns):
+        raise AssertionError("a list of the whole corpus")
+
+    monkeypatch.setattr(F, "collect_list", refuse)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    ids = sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert [tuple(r) for r in corpus_id_fold(spark, sf_dir).collect()] == [(hashlib.sha256("".join(ids).encode()).hexdigest(), len(ids))]
