@@ -9,7 +9,9 @@ smaller id, or earlier in the same one. Strings never cross documents and are ju
    Equal strings have equal anchors, so only strings whose anchor occurs twice can be repeated; a text
    has about one anchor for 35 bytes. Strings with one anchor make a segment of at most
    ``2 LENGTH - GRAM`` bytes; equal segments are sorted once, as the earliest of them.
-3. Segments are dealt to shards by anchor. Each shard is sorted by external induced sorting, which
+3. Segments are dealt to shards by anchor. The strings of an anchor with more than ``HOT`` bytes are
+   dealt by 128-bit hashes of their bytes instead, and compared with the earliest of their hash, so no
+   anchor has to fit one task. Each other shard is sorted by external induced sorting, which
    carries common-prefix lengths; neighbours that share ``LENGTH`` bytes are equal strings, and all but
    the earliest of them are repeats.
 4. Repeats come together by document as ranges of bytes, and each text is cut.
@@ -35,6 +37,8 @@ from lustrate.scratch import Scratch, small
 LENGTH, GRAM = 100, 32
 #: Bytes hashed together, and bytes of segments sorted together unless one anchor has more.
 PIECE, SHARD = 1 << 19, 6 << 20
+#: Bytes of distinct segments from which an anchor's strings are dealt by themselves.
+HOT = SHARD
 #: Bytes of the table of repeats by document that may be broadcast; a larger one is shuffled.
 MARKS_BYTES = 32 << 20
 END = 0xFF  # no byte of UTF-8
@@ -189,6 +193,37 @@ def sort_shards(cuts: DataFrame) -> DataFrame:
     return cuts.mapInPandas(run, "doc long, tag long, low long, high long")
 
 
+def strings_of(cuts: DataFrame) -> DataFrame:
+    """(h, l, doc, tag, start): every string of the segments, as a hash in two halves."""
+    columns = ["h", "l", "doc", "tag", "start"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, tag, start, count, cut in zip(*(batch[c] for c in ("doc", "tag", "start", "count", "segment"))):
+                for k in range(count):
+                    whole = hashlib.blake2b(cut[k : k + LENGTH], digest_size=16).digest()
+                    rows.append((int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True), doc, tag, start + k))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return cuts.mapInPandas(run, "h long, l long, doc long, tag long, start long")
+
+
+def hot_repeats(cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same as ``sort_shards`` for segments of anchors that are too large for one task: a minimum
+    for each hash, made in parts, and a join whose large keys can be split."""
+    cuts = scratch.save(cuts, "hot")
+    at = F.struct("doc", "tag", "start")
+    first = strings_of(cuts).groupBy("h", "l").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.save(first.select("h", "l", "at"), "first")
+    later = strings_of(cuts).join(first.hint("merge"), ["h", "l"]).where(at > F.col("at"))
+    return later.select("doc", "tag", F.col("start").alias("low"), (F.col("start") + LENGTH).alias("high"))
+
+
 def cut_texts(texts: DataFrame) -> DataFrame:
     """doc, tag, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept, of texts with their ranges."""
 
@@ -234,12 +269,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # What is not the earliest of its equals is a repeat from end to end.
     later = places.join(earliest, ["anchor", "same"]).where(order > F.col("at"))
     later = later.select("doc", "tag", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("count") - 1 + LENGTH).cast("long").alias("high"))
-    distinct = scratch.save(marks(earliest.select("anchor", "at.*")), "distinct")
+    # At most one anchor for every HOT bytes of segments.
+    hot = scratch.save(earliest.groupBy("anchor").agg(F.sum(F.col("at.count") + LENGTH).alias("size")).where(F.col("size") > HOT).select("anchor"), "hot_anchors")
+    some = bool(hot.head(1))
+    cold = earliest.join(small(hot, 16), "anchor", "left_anti") if some else earliest
+    distinct = scratch.save(marks(cold.select("anchor", "at.*")), "distinct")
     cuts = cut_segments(marked(distinct), True).repartition("anchor").sortWithinPartitions("anchor")
     sorted_out = scratch.save(sort_shards(cuts), "sorted")
+    if some:
+        distinct = scratch.save(marks(earliest.join(small(hot, 16), "anchor", "left_semi").select("anchor", "at.*")), "hot_distinct")
+        later = later.unionByName(hot_repeats(cut_segments(marked(distinct), True), scratch))
     ranges = sorted_out.unionByName(later).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("r"))
     ranges = scratch.save(ranges.select("doc", "tag", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), "ranges")
-    scratch.drop("places", "earliest", "distinct", "sorted")
+    scratch.drop("places", "earliest", "hot_anchors", "distinct", "sorted", "hot_distinct", "hot", "first")
 
     own = rows.where(first).select("doc_id", "doc", "tag", "bytes").join(ranges.hint("merge"), ["doc", "tag"], "left")
     kept = cut_texts(own)

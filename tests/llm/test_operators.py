@@ -103,6 +103,25 @@ def test_repeats_match_brute_force(spark):
     assert got == brute_repeats(texts)
 
 
+def test_repeats_of_a_hot_anchor(spark, monkeypatch):
+    """A line in most documents, in contexts of their own: no anchor's segments beyond ``HOT`` go to one sort."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdé"), 4)) for _ in range(n))
+    line = word(25)
+    texts = [word(20) + line + word(20) for _ in range(60)] + [line, line + line, word(60), None]
+    sizes, inner = [], suffix_dedup.sort_shards
+
+    def spied(cuts):
+        sizes.extend(r[0] for r in cuts.groupBy("anchor").agg(F.sum(F.octet_length("segment"))).select("sum(octet_length(segment))").collect())
+        return inner(cuts)
+
+    monkeypatch.setattr(suffix_dedup, "sort_shards", spied)
+    monkeypatch.setattr(suffix_dedup, "HOT", 2000, raising=False)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+    assert sizes and max(sizes) <= 2000
+
+
 def test_repeats_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, "y" * 150), (4, "y" * 150), (4, "y" * 150), (None, None)], "doc_id long, text string")
     got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(rows).collect())
