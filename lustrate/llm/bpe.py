@@ -5,12 +5,13 @@ shuffle) choose the frequent words: the lowest count whose words number at most
 Their encodings are compiled into a minimal acyclic transducer (states with equal futures are
 shared; the numbers on the arcs add up to a word's place in a table of ids). It is written to one
 file, sent to every executor by Spark, and memory-mapped there, so workers on a machine share it.
-Words outside it are merged exactly by rank. Each worker keeps a bounded memo of rendered words.
+Words outside it are merged exactly by rank. Each worker keeps a bounded memo of words.
 
 Special tokens' strings inside a text become their ids, as the tokenizers library does by default.
 Results for odd input: a null or empty text has no tokens (the hash of no bytes); very long words
-are merged with a heap; repeated rows are encoded alike; an empty table gives no rows; other columns
-are passed over.
+are merged with a heap, and texts are taken in portions of a few megabytes (a longer text is a
+portion of its own); repeated rows are encoded alike; doc_id may have any type, null included, and
+is carried; a table, or a part of one, without rows gives none; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -27,18 +28,25 @@ from array import array
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from lustrate.llm.hashing import arrow_parts
 from lustrate.scratch import Scratch
 
 #: Most words of the transducer: it bounds the driver's work and the file sent to executors.
 LEXICON = 65_536
-#: Rendered words that a worker keeps before it starts anew.
-MEMO = 400_000
+#: Words that a worker keeps before it starts anew, and their letters.
+MEMO, MEMO_LETTERS = 400_000, 8 << 20
+#: Letters encoded together, and ids written or decoded together (these bound a worker's memory).
+PIECE, BLOCK = 1 << 20, 1 << 17
+#: Bytes of a word from which it is merged by itself, with a heap.
+SHORT = 48
 ID_BITS = 20
 ID_MASK, NO_MERGE = (1 << ID_BITS) - 1, 1 << 60
 
@@ -49,13 +57,18 @@ LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6
 
 
 def word_pattern(letter: str, number: str, space: str) -> str:
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    # No alternative but the second begins with an apostrophe that a letter follows, so letters, the
+    # most frequent kind, are tried before it.
+    return rf" ?[{letter}]++|'(?:[stmd]|re|ve|ll)| ?[{number}]++| ?[^{space}{letter}{number}]++|[{space}]+(?![^{space}])|[{space}]+"
 
 
 WORD = regex.compile(word_pattern(r"\p{L}", r"\p{N}", SPACE))
 LATIN_WORD = re.compile(word_pattern(LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE))
 
 
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
 def pretokens(text: str) -> list[str]:
     try:
         text.encode("latin-1")
@@ -64,6 +77,17 @@ def pretokens(text: str) -> list[str]:
     return LATIN_WORD.findall(text)
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, one after the other; made in blocks, so
+    that only the result grows with its size."""
+    out = []
+    for low in range(0, len(starts), BLOCK):
+        first, size = starts[low : low + BLOCK], lengths[low : low + BLOCK]
+        shift = (first - (np.cumsum(size) - size)).astype(np.int32)
+        out.append(values[np.repeat(shift, size) + np.arange(int(size.sum()), dtype=np.int32)])
+    return np.concatenate(out) if out else values[:0]
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies, reversed."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,6 +95,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def table_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all parts, where each starts, and its size."""
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 class Vocabulary:
     """Ranks of merges, bytes of tokens and special strings of a tokenizers JSON file."""
 
@@ -90,15 +120,73 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             # One number orders by rank and carries the new id in its low bits.
             self.merges[ids[left], ids[right]] = rank << ID_BITS | ids[left + right]
+        pairs = np.array([(left << ID_BITS | right, value) for (left, right), value in self.merges.items()] + [(1 << 62, NO_MERGE)], dtype=np.int64)
+        self.pair_keys, self.pair_values = pairs[np.argsort(pairs[:, 0])].T.copy()
+        self.first = np.array(self.byte_ids, dtype=np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: content.encode() for content, i in self.special.items()}
-        self.rendered = {str(i): b for i, b in self.bytes.items()}
+        # The same as tables: bytes and decimal numbers of all ids, one after the other.
+        each = range(max(self.bytes) + 1)
+        self.raw, self.raw_starts, self.raw_sizes = table_of([self.bytes.get(i, b"") for i in each])
+        self.names, self.name_starts, self.name_sizes = table_of([b"%d," % i for i in each])
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def split(self, text: str) -> list[str]:
+        """The special strings of a text and what lies between them; nothing of an empty text."""
+        if not any(s in text for s in self.special):
+            return [text] if text else []
+        return [p for p in self.special_split.split(text) if p]
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """``ids`` as decimal numbers with a comma after each."""
+        return ragged(self.names, self.name_starts[ids], self.name_sizes[ids]).tobytes()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return ragged(self.raw, self.raw_starts[ids], self.raw_sizes[ids]).tobytes()
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and new id of each pair, or ``NO_MERGE``."""
+        key = left.astype(np.int64) << ID_BITS | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NO_MERGE)
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words: all ids, and how many each word has. Words of one length take
+        their next merge together, so their rows stay equally long until no pair is left in them."""
+        lengths, done = np.array([len(w) for w in words], dtype=np.int64), []
+        for length in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == length)
+            if length > SHORT:
+                done += [(np.array([i]), np.array([self.merge(words[i])], dtype=np.int32)) for i in rows.tolist()]
+                continue
+            ids = self.first[np.frombuffer(b"".join([words[i] for i in rows.tolist()]), dtype=np.uint8).reshape(len(rows), length)]
+            found = self.look(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                width = ids.shape[1]
+                at = found.argmin(axis=1) if width > 1 else np.zeros(len(rows), dtype=np.int64)
+                best = found[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NO_MERGE)
+                going = best != NO_MERGE
+                done.append((rows[~going], ids[~going]))
+                rows, ids, found, at, new = rows[going], ids[going], found[going], at[going], (best[going] & ID_MASK).astype(np.int32)
+                column, every = np.arange(width - 1), np.arange(len(rows))[:, None]
+                ids = ids[every, column + (column > at[:, None])]
+                ids[every[:, 0], at] = new
+                found = found[every, column[:-1] + (column[:-1] >= at[:, None])]
+                left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+                found[left, at[left] - 1] = self.look(ids[left, at[left] - 1], new[left])
+                found[right, at[right]] = self.look(new[right], ids[right, at[right] + 1])
+        sizes = np.zeros(len(words), dtype=np.int64)
+        for rows, ids in done:
+            sizes[rows] = ids.shape[1]
+        starts, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), dtype=np.int32)
+        for rows, ids in done:
+            out[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, sizes
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merges of one word: always the lowest rank, the leftmost of equal ones."""
         ids, merges = [self.byte_ids[b] for b in word], self.merges
-        if len(ids) > 48:
+        if len(ids) > SHORT:
             return self._merge_long(ids)
         get = merges.get
         found = [get(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
@@ -195,24 +283,22 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             if target not in number:
                 number[target] = len(order)
                 order.append(target)
-    labels, targets, adds, starts, ends = bytearray(), array("i"), array("i"), array("i"), array("i")
+    # An arc's key is its state and letter, so the keys rise and a search finds the arc.
+    arcs_out, targets, adds, ends = array("q"), array("i"), array("i"), array("i")
     for state in order:
-        starts.append(len(labels))
         ends.append(final[state])
         so_far = int(final[state])
         for letter, target in sorted(arcs[state].items()):
-            labels.append(letter)
+            arcs_out.append(number[state] << 8 | letter)
             targets.append(number[target])
             adds.append(so_far)
             so_far += below[target]
-    starts.append(len(labels))
     offsets, ids = array("i", [0]), array("i")
     for word in words:
         ids.extend(entries[word])
         offsets.append(len(ids))
-    parts = [bytes(labels), *(x.tobytes() for x in (targets, adds, starts, ends, offsets, ids))]
-    padded = [p + b"\0" * (-len(p) % 4) for p in parts]
-    return struct.pack("<14i", *[x for p, q in zip(parts, padded) for x in (len(p), len(q))]) + b"".join(padded)
+    parts = [x.tobytes() for x in (arcs_out, targets, adds, ends, offsets, ids)]
+    return struct.pack("<6q", *map(len, parts)) + b"".join(parts)
 
 
 class Lexicon:
@@ -221,22 +307,36 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes, at, parts, view = struct.unpack_from("<14i", self.map), 56, [], memoryview(self.map)
-        self.labels_at = at
-        for plain, padded in zip(sizes[::2], sizes[1::2]):
-            parts.append(view[at : at + plain])
-            at += padded
-        self.targets, self.adds, self.starts, self.ends, self.offsets, self.ids = (p.cast("i") for p in parts[1:])
-
-    def find(self, word: bytes) -> list[int] | None:
-        state, place, find, base = 0, 0, self.map.find, self.labels_at
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + self.starts[state], base + self.starts[state + 1]) - base
-            if arc < 0:
-                return None
-            place += self.adds[arc]
-            state = self.targets[arc]
-        return self.ids[self.offsets[place] : self.offsets[place + 1]].tolist() if self.ends[state] else None
+        parts, at = [], 48
+        for size, kind in zip(struct.unpack_from("<6q", self.map), ("<i8", *["<i4"] * 5)):
+            parts.append(np.frombuffer(self.map, dtype=kind, count=size // int(kind[-1]), offset=at))
+            at += size
+        self.arcs, self.targets, self.adds, self.ends, self.offsets, self.ids = parts
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the table of ids, or -1. All words take their next arc together."""
+        text = np.frombuffer(b"".join(words), dtype=np.uint8)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        starts, out = np.cumsum(sizes) - sizes, np.full(len(words), -1, dtype=np.int64)
+        rows, state, place = np.arange(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for step in range(int(sizes.max(initial=0)) + 1):
+            ended = sizes[rows] == step
+            final = ended & (self.ends[state] > 0)
+            out[rows[final]] = place[final]
+            rows, state, place = rows[~ended], state[~ended], place[~ended]
+            if not len(rows) or not len(self.arcs):
+                break
+            key = state << 8 | text[starts[rows] + step]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            there = self.arcs[at] == key
+            at, rows = at[there], rows[there]
+            place, state = place[there] + self.adds[at], self.targets[at].astype(np.int64)
+        return out
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at ``places``, and how many each has."""
+        sizes = (self.offsets[places + 1] - self.offsets[places]).astype(np.int64)
+        return ragged(self.ids, self.offsets[places], sizes), sizes
 
 
 @lru_cache(maxsize=2)
@@ -244,45 +344,71 @@ def mapped(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
-class Rendered(dict):
-    """Memo from a word to its ids, written as decimal numbers with commas between them."""
-
-    def __init__(self, lexicon: Lexicon | None, vocab: Vocabulary):
-        super().__init__()
-        self.lexicon, self.vocab = lexicon, vocab
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= MEMO:
-            self.clear()
-        raw = word.encode("utf-8")
-        ids = self.lexicon.find(raw) if self.lexicon else None
-        text = ",".join(map(str, self.vocab.merge(raw) if ids is None else ids))
-        if len(word) < 64:
-            self[word] = text
-        return text
-
-
-def words_of(text: str, vocab: Vocabulary) -> list[str]:
-    """Pre-tokens of the parts of a text between special strings."""
-    if vocab.special_split is None or not any(s in text for s in vocab.special):
-        return pretokens(text)
-    return [w for part in vocab.special_split.split(text) if part not in vocab.special for w in pretokens(part)]
-
+def in_pieces(text: str):
+    """A text in pieces of about ``PIECE`` letters. It is cut before single spaces between other
+    characters: there a word begins, and nothing after it bears on the words before it."""
+    at = 0
+    while len(text) - at > PIECE and (cut := SINGLE_SPACE.search(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
-def render(text: str, memo: Rendered) -> str:
-    """The ids of a text, in decimal, joined by commas."""
-    vocab, get = memo.vocab, memo.__getitem__
-    if vocab.special_split is None or not any(s in text for s in vocab.special):
-        return ",".join(map(get, pretokens(text)))
-    parts = []
-    for part in vocab.special_split.split(text):
-        parts += [str(vocab.special[part])] if part in vocab.special else map(get, pretokens(part))
-    return ",".join(parts)
 
+class Encoder:
+    """Encodes portions of texts, with a memo from words to their ids."""
 
-def decode(rendered: str, vocab: Vocabulary) -> str:
-    """The text of ids written by ``render``; bytes that are no UTF-8 become replacement characters."""
-    return b"".join(map(vocab.rendered.__getitem__, rendered.split(","))).decode("utf-8", "replace") if rendered else ""
+    def __init__(self, lexicon: Lexicon | None, vocab: Vocabulary):
+        self.lexicon, self.vocab = lexicon, vocab
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty memo, but for the special strings, which no other word is equal to."""
+        self.number = {s: k for k, s in enumerate(self.vocab.special)}
+        self.ids = np.array(list(self.vocab.special.values()), dtype=np.int32)
+        self.sizes = np.ones(len(self.ids), dtype=np.int64)
+        self.letters = 0
+
+    def know(self, words: list[str]) -> None:
+        """Words of the lexicon take their ids from it; the others are merged, all at once."""
+        raw = [w.encode("utf-8") for w in words]
+        place = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
+        sizes, out = np.zeros(len(raw), dtype=np.int64), []
+        known, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        if len(known):
+            ids, sizes[known] = self.lexicon.ids_of(place[known])
+            out.append(ids)
+        ids, sizes[rest] = self.vocab.merge_many([raw[i] for i in rest.tolist()])
+        order = np.concatenate([known, rest]).tolist()
+        self.number.update(zip([words[i] for i in order], range(len(self.sizes), len(self.sizes) + len(order))))
+        self.ids, self.sizes = np.concatenate([self.ids, *out, ids]), np.concatenate([self.sizes, sizes[order]])
+        self.letters += sum(map(len, words))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if len(self.number) > MEMO or self.letters > MEMO_LETTERS:
+                self.forget()
+            if fresh := list(set().union(*(w for _, w in held)).difference(self.number)):
+                self.know(fresh)
+            starts, get = np.cumsum(self.sizes) - self.sizes, self.number.__getitem__
+            for i, words in held:
+                at = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
+                out[i].append(ragged(self.ids, starts[at], self.sizes[at]))
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            for part in self.vocab.split(text):
+                for piece in [part] if part in self.vocab.special else in_pieces(part):
+                    held.append((i, [piece] if part in self.vocab.special else pretokens(piece)))
+                    size += len(piece)
+                    if size > PIECE:
+                        flush()
+        flush()
+        return [np.concatenate([np.zeros(0, dtype=np.int32), *x]) for x in out]
 
 
 def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -290,16 +416,21 @@ def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     def count(batches):
         vocab, seen = vocabulary(vocab_path), Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    seen.update(words_of(text, vocab))
-                if len(seen) > MEMO:
-                    yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-                    seen = Counter()
-        yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        for batch in arrow_parts(batches):
+            for text in batch.column("text").to_pylist():
+                for part in vocab.split(text or ""):
+                    for piece in in_pieces(part) if part not in vocab.special else ():
+                        seen.update(pretokens(piece))
+                        if len(seen) > MEMO:
+                            yield rows()
+                            seen = Counter()
+        yield rows()
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, vocab_path: str, scratch: Scratch, lexicon: int = LEXICON) -> list[str]:
@@ -327,21 +458,23 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: int = LEXICON, with_ids: b
     # The file lies in the shared folder; Spark copies it to every executor, also to later ones.
     spark.sparkContext.addFile(scratch.write_bytes(name, data))
 
+    fields = [docs.schema["doc_id"], *(StructField(n, t) for n, t in (("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType())))]
+    schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
+
     def run(batches):
-        vocab = vocabulary(vocab_path)
-        memo = Rendered(mapped(name), vocab)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                rendered = render(text, memo) if text else ""
-                row = (doc_id, rendered.count(",") + 1 if rendered else 0, sha(rendered), sha(decode(rendered, vocab)))
-                rows.append((*row, list(map(int, rendered.split(","))) if rendered else []) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    names = [part.split()[0] for part in schema.split(", ")]
-    return docs.mapInPandas(run, schema)
+        encoder = Encoder(mapped(name), vocabulary(vocab_path))
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for batch in arrow_parts(batches):
+            vocab, ids = encoder.vocab, encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            sizes = [len(x) for x in ids]
+            ids_sha = [sha(vocab.written(x)[:-1]) for x in ids]
+            text_sha = [sha(vocab.decoded(x).decode("utf-8", "replace").encode("utf-8")) for x in ids]
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def op6_bpe_round_trip(spark, sf_dir):

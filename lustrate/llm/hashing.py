@@ -10,10 +10,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: Bytes of text whose shingles are held at a time; a single longer text is a portion of its own.
-PORTION = 4 << 20
+PORTION = 1 << 20
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SHINGLE = np.random.default_rng(7).integers(1, 2**63, 16, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -104,6 +105,14 @@ def portions(sizes) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(sizes)]) if a < b]
 
 
+def arrow_parts(batches, column: str = "text"):
+    """The Arrow batches cut into parts with at most ``PORTION`` bytes of a text column (or one row);
+    nothing comes of empty batches."""
+    for batch in batches:
+        for part in portions(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of the ``width``-word shingles of each text; the whole sequence of a
     shorter text is its only shingle, and a text without words has none."""
