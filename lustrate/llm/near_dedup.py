@@ -16,12 +16,14 @@
    meet in the rest). First, a few random hubs of each list are paired with the texts of other
    components, ``ROUNDS`` times: this joins loose groups, whose texts differ too much from any single
    hub, at a few pairs a text. Then the pairs between the components that are left are filtered and
-   verified in the same way, so no link is lost. In a list they meet only where enough values follow
+   verified in the same way. In a list they meet only where enough values follow
    in both texts for the overlap that their sizes ask for (positional filtering): texts with many
    values of their own, which no hub has joined, make few pairs even in the lists of a large group.
+   Lists longer than ``BLOCK`` meet block by block.
 
 Results for odd input: a null or empty text, or one of white space only, has an empty set and is
-linked with nothing; rows with one doc_id count as one document; a row with a null id is compared
+linked with nothing; very long texts are hashed in buffers, a text at a time; rows with one doc_id
+count as one document (of its different texts the smallest set decides links); a row with a null id is compared
 like others when a copy has an id, and else stays alone with a null component; repeated rows fall
 into one class; an empty table gives no rows.
 """
@@ -29,11 +31,11 @@ into one class; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lustrate.llm.hashing import mix, portions, shingle_sets
+from lustrate.llm.hashing import arrow_parts, mix, shingle_sets
 from lustrate.scratch import Scratch, small
 
 #: Sketch size, values entered in lists, values that similar texts share, and the sketch's leeway.
@@ -41,23 +43,31 @@ SKETCH, LISTED, SHARED, SPREAD = 128, 32, 13, 6.0
 #: Rounds of random hubs, hubs of a list in each, and lists of a text that take part.
 ROUNDS, HUBS, LISTS = 3, 8, 4
 NEEDED_BYTES = 16 << 20
+#: Partners of a text that are compared with it in one task, and members of a list that meet there.
+GROUP, BLOCK = 4096, 1024
+
+
+def encoded(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
+
+
+def lists_of(sets: list[np.ndarray]) -> pa.ListArray:
+    """Sets of hashes as an Arrow column of signed numbers."""
+    values = np.concatenate([np.zeros(0, dtype=np.int64), *(s.view(np.int64) for s in sets)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), key1 and key2 (of the whole set), sketch of every row."""
 
     def run(batches):
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch["text"]]
-            for part in portions([len(t) for t in texts]):
-                sets = shingle_sets(texts[part], width)
-                keys = [[mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64) for s in sets] for c in (1, 2)]
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[part].astype("Int64").array, "n": [len(s) for s in sets], "key1": keys[0], "key2": keys[1],
-                    "sketch": [np.sort(s[:SKETCH].view(np.int64)) for s in sets],
-                })
+        for batch in arrow_parts(batches):
+            sets = shingle_sets(encoded(batch.column("text")), width)
+            keys = [pa.array([int(mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()) for c in (1, 2)]
+            sketch = lists_of([np.sort(s[:SKETCH].view(np.int64)) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *keys, sketch], ["doc_id", "n", "key1", "key2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key1 long, key2 long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key1 long, key2 long, sketch array<long>")
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -82,8 +92,13 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         edges, step = after, step + 1
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and union sketch allow the similarity num / den."""
+def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int, spread: float | None) -> DataFrame:
+    """The pairs (a, b) whose sizes and union sketch allow the similarity num / den, within ``spread``
+    standard deviations of the estimate (None: whose sizes allow it)."""
+    if spread is None:
+        n = nodes.select("node", "n")
+        sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+        return sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
@@ -92,48 +107,65 @@ def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     at, seen = num / den, F.size("u")
     # The union's size at the threshold; more similar texts have a smaller union.
     whole = (F.col("na") + F.col("nb")) * den / (num + den)
-    leeway = SPREAD * F.sqrt(F.greatest(F.lit(0.0), 1 - seen / whole) * (at * (1 - at)) / seen) + 1e-9
+    leeway = spread * F.sqrt(F.greatest(F.lit(0.0), 1 - seen / whole) * (at * (1 - at)) / seen) + 1e-9
     return joined.where(sizes).withColumn("u", union).where(shared >= seen * (at - leeway)).select("a", "b")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the documents in ``ids`` (a saved table of node and others, which are kept)."""
+    held = docs.join(small(ids, 40, NEEDED_BYTES), F.col("doc_id") == F.col("node"))
+    return held.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full shingle sets have a Jaccard similarity of num / den or more."""
-    needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-needed")
-    texts = scratch.save(docs.join(small(needed, 24, NEEDED_BYTES), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), f"{label}-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    """The pairs whose full shingle sets have a Jaccard similarity of num / den or more.
+
+    Pairs are grouped by their second text, at most about ``GROUP`` together, so a text with many
+    partners is sent once for each group and its set is made once; the partners stream past it."""
+    needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-needed")
+    texts = scratch.save(texts_of(docs, needed), f"{label}-texts")
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
+    dealt = scratch.save(dealt, f"{label}-dealt")
+    side = lambda x: texts.select(F.col("node").alias(x), "text")
+    heads = dealt.select("b", "part").distinct().join(side("b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    both = heads.unionByName(dealt.join(side("a"), "a").select("b", "part", "a", "text"))
+    # A head sorts before the partners of its group.
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def compare(batches):
-        for batch in batches:
-            for part in portions((batch["ta"].str.len() + batch["tb"].str.len()).tolist()):
-                some = batch.iloc[part]
-                sets = shingle_sets([t.encode("utf-8", "replace") for t in [*some["ta"], *some["tb"]]], width)
-                half = len(some)
-                shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64)
-                union = np.array([len(x) + len(y) for x, y in zip(sets[:half], sets[half:])], dtype=np.int64) - shared
-                yield some[["a", "b"]][den * shared >= num * union]
+        head = np.zeros(0, dtype=np.uint64)
+        for batch in arrow_parts(batches):
+            a, b, linked = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for i, own in enumerate(shingle_sets(encoded(batch.column("text")), width)):
+                if a[i] is None:
+                    head = own
+                    continue
+                shared = len(np.intersect1d(head, own, assume_unique=True))
+                if den * shared >= num * (len(head) + len(own) - shared):
+                    linked.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in linked], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long"), label)
+    return scratch.save(both.mapInArrow(compare, "a long, b long"), label)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, n, value): all shingles of the texts of ``nodes`` (node, n; a saved table)."""
 
     def run(batches):
-        for batch in batches:
-            for part in portions(batch["text"].str.len().tolist()):
-                some = batch.iloc[part]
-                sets = shingle_sets([t.encode("utf-8", "replace") for t in some["text"]], width)
-                yield some[["node", "n"]].assign(values=[s.view(np.int64) for s in sets])
+        for batch in arrow_parts(batches):
+            sets = lists_of(shingle_sets(encoded(batch.column("text")), width))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), sets], ["node", "n", "values"])
 
-    texts = docs.join(small(nodes, 40, NEEDED_BYTES), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]).select("node", "n", "text")
-    return texts.mapInPandas(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
+    return texts_of(docs, nodes).select("node", "n", "text").mapInArrow(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
 
 
 def between(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """``entries`` with their component, in lists that hold more than one component."""
+    """``entries`` with their component, in lists that hold more than one component, and the number of
+    ``blocks`` into which such a list falls."""
     placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
-    return placed.join(mixed, "value", "left_semi")
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return placed.join(mixed.where("x <> y").select("value", "blocks"), "value")
 
 
 def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -147,16 +179,22 @@ def grown(comps: DataFrame, links: DataFrame, scratch: Scratch, label: str) -> D
     return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links), scratch, label)
 
 
-def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    By default a linked pair of texts with more than ``LISTED`` shingles is missed with a chance of
+    about 1e-6 (it must share fewer than ``SHARED`` of its listed values, or lie ``SPREAD`` deviations
+    under the threshold in the union's sketch), unless others link its ends. ``exact`` rules that out:
+    all texts enter the rest rounds by their whole sets, and nothing is filtered by an estimate."""
+    spread = None if exact else SPREAD
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark, "near")
     rows = scratch.save(sketches(docs, width), "rows")
     keys = ["key1", "key2", "n"]
     classes = scratch.save(rows.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = rows.where("n > 0").join(classes, [*keys]).where("doc_id = node").dropDuplicates(["node"]).select("node", "n", "sketch")
-    nodes = scratch.save(nodes, "nodes")
+    nodes = rows.where("n > 0").join(classes, [*keys]).where("doc_id = node")
+    nodes = scratch.save(nodes.groupBy("node").agg(F.min(F.struct(*keys, "sketch")).alias("first")).select("node", "first.n", "first.sketch"), "nodes")
 
     entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     frequent = entries.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
@@ -170,11 +208,12 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100)
 
     hubs = kept.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     first = kept.join(hubs, "value").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = scratch.save(likely(first, nodes, num, den), "first")
+    first = scratch.save(likely(first, nodes, num, den, spread), "first")
     links = verified(first, docs, scratch, "links", width, num, den)
     comps = components(links, scratch, "comps")
 
-    open_nodes = scratch.save(between(kept, comps).groupBy("node").agg(F.first("n").alias("n")), "open")
+    open_nodes = nodes.select("node", "n") if exact else between(kept, comps).groupBy("node").agg(F.first("n").alias("n"))
+    open_nodes = scratch.save(open_nodes, "open")
     full = whole_sets(docs, open_nodes, width)
     frequent = full.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
     shared = full.join(frequent, "value")
@@ -188,26 +227,32 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100)
         chosen = entries.groupBy("value").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))) for i in range(HUBS)])).alias("hubs"))
         chosen = chosen.select("value", F.explode("hubs").alias("u")).select("value", "u.b", "u.n_b", "u.comp_b").distinct()
         pairs = entries.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), "comp").join(chosen, "value").where((F.col("comp") != F.col("comp_b")) & sizes).select("a", "b").distinct()
-        pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den), f"hubs{turn}")
+        pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den, spread), f"hubs{turn}")
         if not pairs.head(1):
             break
         tried = scratch.save(tried.unionByName(pairs), f"tried{turn}")
         comps = grown(comps, verified(pairs, docs, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
 
-    rest = between(prefix, comps)
-    side = lambda x: rest.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "rank", "comp")])
+    rest = scratch.save(between(prefix, comps), "rest-lists")
+    # A long list falls into blocks by a hash; each pair of blocks meets in a place of its own, so the
+    # members of a place are bounded whatever a list's length.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"))))
+    placed = rest.withColumn("at", meets).select("value", "at.low", "at.high", "node", "n", "rank", "comp")
+    side = lambda x: placed.select("value", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "rank", "comp")])
     # At the first value that two texts share, what follows in both bounds the size of their intersection.
     bound = F.least(F.expr("n_a - rank_a"), F.expr("n_b - rank_b")) + 1
     enough = bound * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    pairs = side("a").join(side("b"), "value").where((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den), "rest")
+    pairs = side("a").join(side("b"), ["value", "low", "high"]).where((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den, spread), "rest")
     if pairs.head(1):
         comps = grown(comps, verified(pairs, docs, scratch, "more", width, num, den), scratch, "all")
 
     of_class = classes.join(comps, "node", "left").select(*keys, F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc_id", *keys).join(scratch.save(of_class, "of_class"), keys, "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    scratch.drop("nodes", "entries", "open", "prefix", "first", "rest", "links-texts", "more-texts", *[f"{x}{i}{y}" for i in range(ROUNDS) for x, y in (("hubs", ""), ("tried", ""), ("found", ""), ("found", "-texts"))])
+    scratch.drop("nodes", "entries", "open", "prefix", "first", "rest", "rest-lists", *[f"{x}{i}" for i in range(ROUNDS) for x in ("hubs", "tried")])
+    scratch.drop(*[f"{x}{y}" for x in ("links", "more", *(f"found{i}" for i in range(ROUNDS))) for y in ("", "-needed", "-texts", "-dealt")])
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
