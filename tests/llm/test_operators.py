@@ -20,6 +20,13 @@ from lustrate.scratch import Scratch
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score double, _group string"
 
 
+@pytest.fixture(scope="module")
+def bpe_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def docs(spark, texts, parts=3):
     """Rows with odd and clashing extra columns; ids are places."""
     return spark.createDataFrame([(i, t, "en", "src0", 0, "x", 0.5, "g") for i, t in enumerate(texts)], DOCS).repartition(parts)
@@ -28,6 +35,41 @@ def docs(spark, texts, parts=3):
 ODD = ["", None, " \t\n", "A", "a", "same text here", "same text here", "Same Text Here", "é" * 5, "x" * 200_000, "ab " * 3000, "it's 12 o'clock\r\n　ok <|endoftext|> z"]
 
 
+def operators(spark, bpe_file):
+    """Each operator as a function of documents, as simple as its parameters allow."""
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+
+    def archived(d):
+        scratch = Scratch(spark, "t")
+        warc.write_archives(d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html")), scratch.path("w"), "<urn:uuid:t>", scratch)
+        return warc.read_archives(spark, scratch.path("w"), "<urn:uuid:t>")
+
+    return {
+        1: lambda d: sharding.shard_rows(d.select("doc_id", "text"), 3, ["doc_id", "text"]),
+        2: suffix_dedup.remove_repeats,
+        3: lambda d: quality.score_quality(d, labels),
+        4: lambda d: decontaminate.find_leaks(d, items),
+        5: archived,
+        6: lambda d: bpe.encode(d, bpe_file),
+        7: lambda d: url_filter.judge_urls(d.withColumn("url", F.lit("http://a.net/")), url_filter.SITE_RULES),
+        8: lambda d: language_id.identify(d, language_id.default_vocabulary()),
+        9: near_dedup.near_groups,
+        10: exact_dedup.exact_dedup,
+    }
+
+
+@pytest.mark.parametrize("number", range(1, 11))
+def test_tables_without_rows_and_splits_without_rows(spark, bpe_file, number):
+    # Read from files: the optimiser would turn where("false") into a plan that runs nothing.
+    scratch, operator = Scratch(spark, "odd"), operators(spark, bpe_file)[number]
+    empty = scratch.save(docs(spark, ["x"]).where("doc_id < 0"), "empty")
+    assert empty.rdd.getNumPartitions() > 0 and operator(empty).count() == 0
+    few = docs(spark, ["one two three four five six", "one two three four five six", None], parts=1).repartition(7, "text")
+    assert len([n for n in few.rdd.glom().map(len).collect() if n == 0]) >= 5
+    assert operator(few).count() == {4: 2, 7: 1}.get(number, 3)
+
+
 # ---- 1 sharding
 
 
@@ -210,6 +252,44 @@ def test_leaks_of_long_items_and_heavy_paraphrases(spark):
     assert got == truth
 
 
+def test_leaks_by_length_and_kind(spark):
+    """Recall for items of 4 to 500 words, in each kind of copy, in texts longer and shorter than a window."""
+    rng = np.random.default_rng(24)
+    common = [f"c{i}" for i in range(60)]
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(6000)]
+    prose = lambda n: [str(rng.choice(common)) if rng.random() < 0.4 else str(rng.choice(words)) for _ in range(n)]
+
+    def swapped(t):
+        t = list(t)
+        for i in range(0, len(t) - 1, 5):
+            t[i], t[i + 1] = t[i + 1], t[i]
+        return t
+
+    kinds = {
+        "verbatim": list, "reordered": swapped, "dropped": lambda t: [w for i, w in enumerate(t) if i % 5 != 2],
+        "changed": lambda t: [str(rng.choice(common)) if i % 4 == 1 else w for i, w in enumerate(t)],
+    }
+    lengths = [4, 5, 6, 10, 24, 40, 80, 120, 240, 500]
+    items = [prose(lengths[i % 10]) for i in range(60)]
+    texts, truth = [prose(400) for _ in range(40)] + [["alone"]], {}
+    for kind, change in kinds.items():
+        for k, item in enumerate(items):
+            # Few words can't be told from chance once some have changed.
+            if kind == "verbatim" or len(item) >= 10:
+                host = prose(int(rng.integers(0, 300)))
+                at = len(host) // 2
+                truth.setdefault((kind, len(item)), set()).add((len(texts), k))
+                texts.append(host[:at] + change(item) + host[at:])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(98, "too few words")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    missed = {x: len(pairs - got) / len(pairs) for x, pairs in truth.items()}
+    assert max(missed.values()) <= 0.17 and not any(v for (kind, _), v in missed.items() if kind == "verbatim"), missed
+    for kind in kinds:
+        pairs = set().union(*(p for (k, _), p in truth.items() if k == kind))
+        assert len(pairs & got) >= 0.9 * len(pairs), (kind, missed)
+    assert got <= set().union(*truth.values())
+
+
 def test_candidate_recall_on_planted_passages(spark, sf_dir):
     """Every planted passage of the smallest tables, found by plain search for eight words."""
     tables = {t: duckdb.sql(f"SELECT * FROM '{sf_dir}/{t}.parquet'").df() for t in ("documents", "benchmark")}
@@ -253,13 +333,6 @@ def test_warc_least_size_and_empty(spark):
 # ---- 6 BPE
 
 
-@pytest.fixture(scope="module")
-def bpe_file():
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def test_bpe_like_the_library(spark, bpe_file, sf_dir):
     from tokenizers import Tokenizer
 
@@ -278,12 +351,33 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w.encode(): [i, i * i] for i, w in enumerate(sorted({a + b + c for a in ("", "re", "un") for b in ("do", "lock", "tie") for c in ("", "s", "ing", "er")}))}
     (tmp_path / "x").write_bytes(bpe.compile_lexicon(words))
     lexicon = bpe.Lexicon(str(tmp_path / "x"))
-    assert all(lexicon.find(w) == ids for w, ids in words.items())
-    assert lexicon.find(b"undoin") is None and lexicon.find(b"") is None and lexicon.find(b"\xff") is None
+    ids, sizes = lexicon.ids_of(lexicon.find(list(words)))
+    assert ids.tolist() == [i for x in words.values() for i in x if True] and set(sizes) == {2}
+    assert lexicon.find([b"undoin", b"\xff", b"undoinge"]).tolist() == [-1, -1, -1]
+    assert bpe.Lexicon.find(lexicon, []).tolist() == []
     # All prefixes share one graph of stems and endings.
     assert len(lexicon.ends) < 25
 
 
+def test_bpe_merges_many_like_one(bpe_file):
+    vocab, rng = bpe.vocabulary(bpe_file), np.random.default_rng(2)
+    words = [rng.choice(list("aeinrst thLING'".encode()), rng.integers(1, 70)).astype(np.uint8).tobytes() for _ in range(500)] + [b"\xff\xfe", b"a" * 47, b"a" * 49]
+    ids, sizes = vocab.merge_many(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [vocab.merge(w) for w in words]
+    assert vocab.written(ids)[:-1] == ",".join(map(str, ids.tolist())).encode() and vocab.decoded(ids) == b"".join(words)
+
+
+def test_bpe_takes_long_texts_in_pieces(bpe_file, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    text = "It's  a long\n\n text\u3000 with <|endoftext|> all\tkinds of  space, isn't it? " * 20
+    ids = bpe.Encoder(None, bpe.vocabulary(bpe_file)).encode([text, "", "x"])
+    library = Tokenizer.from_file(bpe_file)
+    assert [x.tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in (text, "", "x")]
+
+
 # ---- 7 URL rules
 
 
