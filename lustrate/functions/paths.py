@@ -16,7 +16,3 @@ def safe_entry_path(raw: Column) -> Column:
 
 def is_nested(path: Column) -> Column:
     return F.coalesce(F.lower(path).endswith(".zip") | F.lower(path).endswith(".tar"), F.lit(False))
-
-
-def json_pointer_escape(key: Column) -> Column:
-    return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))

@@ -121,7 +121,15 @@ def load_policy(folder: str | Path, method: str = "sha2-256") -> Policy:
         raw = json.loads((folder / "policy.json").read_text("utf-8"))
     except (OSError, ValueError) as e:
         raise PolicyError(f"policy.json can't be read: {e}") from e
-    return compile_policy(raw, bundle_id(folder, method))
+    policy = compile_policy(raw, bundle_id(folder, method))
+    for c in policy.classes:
+        for d in c.detectors:
+            if d.kind == "regex":
+                try:
+                    dialect.check(d.pattern)
+                except ValueError as e:
+                    raise PolicyError(f"{c.class_id}: {e}") from e
+    return policy
 
 
 @dataclass(frozen=True)

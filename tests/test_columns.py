@@ -96,6 +96,39 @@ def test_dialect(spark):
     assert dialect.java_pattern("[$]a$").endswith(r"[$]a\z")
 
 
+# A pattern, a text, and whether the pattern is found in it, in the policy's dialect.
+MEANINGS = [
+    ("[[:alpha:]]+", "Xyz", True), ("[[:alpha:]]+", ":", False), ("[[:alpha:]]", "é", False), ("[[:^digit:]]", "5", False), ("[x[:digit:]]", "x", True), ("[^[:space:]]", " \t", False),
+    ("(?P<year>[0-9]{4})", "in 2024", True), ("(?<a_b>q)", "q", True), ("(?m)b$", "ab\nc", True), ("b$", "ab\nc", False), ("(?m)^c", "ab\nc", True), ("(?m:a$)|b$", "b\n", False),
+    (r"\x{1F600}", "😀", True), (r"\u0041\x42", "AB", True), (r"\U0001F600", "😀", True), (r"a\vb", "a\x0bb", True), (r"a\vb", "a\nb", False), ("[]a]b", "]b", True), ("[^]a]", "]", False),
+    (r"\p{Greek}", "α", True), (r"\pL", "é", True), (r"\P{L}", "é", False), (r"\p{^L}", "5", True), ("(?i)É", "é", True), ("a.c", "a\rc", True), ("a.c", "a\nc", False), ("(?s)a.c", "a\nc", True),
+    ("x{2,3}y", "xxy", True), (r"\bcat\b", "a cat!", True), (r"[\d&&[^5]]", "5", False), (r"\$1\.", "$1.", True), ("a(?i)b(?-i)c", "aBc", True), ("a(?i)b(?-i)c", "aBC", False),
+]
+REFUSED = ["(", ")", "a**", "[a", "*a", "a{", "a{3,2}", r"\Z", r"\Qa\E", r"\k<a>", r"\1", r"\h", r"\R", "a++", "a*+", "a{2}+", "(?=a)", "(?!a)", "(?<=a)b", "(?>a)", "(?x)a b", "(?U)a", "(?R)a", "(?-u)a", "[a--b]", "[a~~b]", "[[:nope:]]", r"\b{start}", "a*", "", "^", "\\", r"\p{Nope}"]
+
+
+def test_dialect_keeps_meanings(spark):
+    for pattern, text, found in MEANINGS:
+        java = dialect.java_pattern(pattern)
+        dialect.check(java)
+        assert spark.range(1).select(F.lit(text).rlike(java)).first()[0] == found, (pattern, text, java)
+
+
+@pytest.mark.parametrize("pattern", REFUSED)
+def test_dialect_refuses(spark, pattern):
+    with pytest.raises(ValueError):
+        dialect.check(dialect.java_pattern(pattern))
+
+
+def test_rewrite_grows_with_the_classes(spark):
+    import time
+
+    policy = Policy(tuple(cls(f"C{i:02}", Detector("regex", f"x{i:02}y"), Detector("regex", f"q{i:02}")) if i % 7 == 0 else cls(f"C{i:02}", Detector("regex", f"x{i:02}y")) for i in range(30)))
+    began = time.perf_counter()
+    assert rewritten(spark, ["x00y x29y q07 x30y"], policy) == ["{{C00}} {{C29}} {{C07}} x30y"]
+    assert time.perf_counter() - began < 60  # it tripled with each class once
+
+
 def test_blake3_of_the_specification():
     assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     # An input of several chunks exercises the tree.
