@@ -60,8 +60,15 @@ def rewrite_class(text: Column, policy_class: PolicyClass) -> Column:
 
 
 def rewrite(text: Column, policy: Policy, applies=lambda c: F.lit(True)) -> Column:
-    """All classes, in order of their ids; ``applies`` tells where a class looks at all."""
-    return reduce(lambda t, c: F.when(applies(c), rewrite_class(t, c)).otherwise(t), policy.classes, text)
+    """All classes, in order of their ids; ``applies`` tells where a class looks at all.
+
+    From the second class on, the text so far is bound to a variable: it is evaluated once, and the
+    expression grows in proportion to the classes."""
+    def step(so_far: Column, c: PolicyClass) -> Column:
+        return F.when(applies(c), rewrite_class(so_far, c)).otherwise(so_far)
+
+    first, *rest = policy.classes
+    return reduce(lambda so_far, c: F.element_at(F.transform(F.array(so_far), lambda t: step(t, c)), 1), rest, step(text, first))
 
 
 def selected(policy_class: PolicyClass, unit_kind: Column, field: Column, pointer: Column) -> Column:
