@@ -34,13 +34,24 @@ def hashed(data: bytes, method: str) -> str:
     return (blake3(data) if method == "blake3" else hashlib.sha256(data).digest()).hex()
 
 
-def proof_token(value, key: str):
-    """Keyed digest of a found value; the key never leaves the run."""
-    return digest(F.concat(F.lit(key), value))
+#: Names the purpose of the digests that the key of a run is made of.
+SECRET = b"lustrate.corpus.secret"
 
 
-def unit_findings(found: DataFrame, policy: Policy, key: str) -> DataFrame:
-    """One row per finding of ``found`` (scan units): class, byte span, locator and proof token."""
+def padded_key(key: bytes, pad: int) -> bytearray:
+    return bytearray(b ^ pad for b in key.ljust(64, b"\0"))
+
+
+def proof_token(value, inner, outer):
+    """HMAC-SHA-256 of a found value; ``inner`` and ``outer`` are columns with the padded keys."""
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, value.cast("binary")), 256))), 256)
+
+
+def unit_findings(found: DataFrame, policy: Policy, key: bytes) -> DataFrame:
+    """One row per finding of ``found`` (scan units): class, byte span, locator and proof token.
+
+    The key comes as a table of one row: literals would show up in plans and event logs."""
+    keys = found.sparkSession.createDataFrame([(padded_key(key, 0x36), padded_key(key, 0x5C))], "_inner binary, _outer binary")
     place = (
         F.when(F.col("unit_kind") == "text", F.lit("text")).when(F.col("unit_kind") == "csv_header", F.lit("csv:header"))
         .when(F.col("unit_kind") == "csv_cell", F.format_string("csv:r%d", "row_index")).when(F.col("unit_kind") == "json_key", F.format_string("ndjson:r%d:key", "record_index"))
@@ -53,9 +64,9 @@ def unit_findings(found: DataFrame, policy: Policy, key: str) -> DataFrame:
         for d in c.detectors:
             values = detect.matches(F.col("text"), d)
             values = F.transform(values, detect.digits) if d.kind == "luhn" else values
-            tokens = F.transform(values, lambda v: proof_token(v, key))
+            tokens = F.transform(values, lambda v: proof_token(v, F.col("_inner"), F.col("_outer")))
             hits = F.arrays_zip(detect.byte_spans(F.col("text"), d).alias("s"), tokens.alias("t"))
-            rows = looked.select(*units.KEYS, place.alias("place"), inner.alias("inner"), F.explode(hits).alias("h"))
+            rows = looked.join(F.broadcast(keys), F.lit(True)).select(*units.KEYS, place.alias("place"), inner.alias("inner"), F.explode(hits).alias("h"))
             locator = F.concat_ws(":", "place", "inner", F.format_string("b%d:%d", "h.s.start", "h.s.end"))
             parts.append(rows.select(*IDS, F.lit(c.class_id).alias("class_id"), F.lit(c.severity).alias("severity"), F.lit(c.action).alias("action"), locator.alias("locator"), F.col("h.t").alias("token")))
     out = parts[0]
@@ -64,7 +75,7 @@ def unit_findings(found: DataFrame, policy: Policy, key: str) -> DataFrame:
     return out
 
 
-def sanitize(artifacts: DataFrame, policy: Policy, limits: Limits, method: str, scratch: Scratch, key: str = "") -> tuple[DataFrame, DataFrame]:
+def sanitize(artifacts: DataFrame, policy: Policy, limits: Limits, method: str, scratch: Scratch, key: bytes = b"") -> tuple[DataFrame, DataFrame]:
     """(states, findings): a row per artifact with its state, reason and output; findings of verified ones."""
     records = scratch.save(extract.extract_records(artifacts, limits, method), "records")
     found = scratch.save(units.scan_units(records), "units")
@@ -105,10 +116,18 @@ def run(spark: SparkSession, input_dir: str, output_dir: str, policy_dir: str, l
     except inventory.UnsafeInput as e:
         print(f"fatal: {e}")
         return FATAL
-    ids = artifacts.select(*IDS).orderBy(*IDS).toLocalIterator()
-    corpus_id = fold((bytes.fromhex(r["artifact_id"]) for r in ids), method)[0].hex()
+    # The key is made of what only a holder of the files can compute; the manifest has none of it.
+    root = hashlib.sha256(SECRET)
+    marked = artifacts.select(*IDS, F.sha2(F.concat(F.lit(bytearray(SECRET)), F.coalesce("content", F.col("artifact_id").cast("binary"))), 256).alias("mark"))
+
+    def ids():
+        for r in marked.orderBy(*IDS).toLocalIterator():
+            root.update(bytes.fromhex(r["mark"]))
+            yield bytes.fromhex(r["artifact_id"])
+
+    corpus_id = fold(ids(), method)[0].hex()
     run_id = hashed(__version__.encode() + bytes.fromhex(policy.policy_id) + bytes.fromhex(corpus_id), method)
-    key = hashed(b"lustrate.proof.key" + bytes.fromhex(run_id) + (secret if secret is not None else bytes.fromhex(corpus_id)), method)
+    key = hashlib.sha256(b"lustrate.proof.key" + bytes.fromhex(run_id) + (secret if secret is not None else root.digest())).digest()
     if (pack / ".run").exists() and (pack / ".run").read_text() != run_id:
         return FATAL  # another run's folder
     sinks.write_whole(pack / ".run", run_id.encode())
@@ -133,7 +152,7 @@ def run(spark: SparkSession, input_dir: str, output_dir: str, policy_dir: str, l
     totals = evidence.run_totals(states).first().asDict()
     reasons = {r["reason_code"]: r["count"] for r in evidence.reason_histogram(states).orderBy("reason_code").collect()}
     common = {"tool_version": __version__, "run_id": run_id, "policy_id": policy.policy_id, "input_corpus_id": corpus_id, "tokenization_enabled": secret is not None, "quarantine_copy_enabled": quarantine_copy}
-    sinks.write_json(pack / "evidence" / "run_manifest.json", common | {"totals": totals, "quarantine_reason_counts": reasons, "proof_scope": "run", "proof_key_commitment": hashed(bytes.fromhex(key), method)})
+    sinks.write_json(pack / "evidence" / "run_manifest.json", common | {"totals": totals, "quarantine_reason_counts": reasons, "proof_scope": "run", "proof_key_commitment": hashed(b"lustrate.proof.commitment" + key, method)})
     # The manifest is the commit: a pack without it is not one.
     sinks.write_json(pack / "pack_manifest.json", common | {"pack_schema_version": PACK, "ledger_schema_version": LEDGER, "digest": method})
     os.remove(pack / ".run")

@@ -13,6 +13,7 @@ import email.policy
 import io
 import json
 import re
+import time
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -54,7 +55,7 @@ def utf8(data: bytes, reason: str = "PARSE_ERROR") -> str:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
 
 
 def parse_json(text: str):
@@ -63,7 +64,7 @@ def parse_json(text: str):
 
     try:
         value = json.loads(text, parse_constant=refuse)
-        canonical(value).encode("utf-8")  # lone surrogates don't pass
+        canonical(value).encode("utf-8")  # lone surrogates and numbers without bounds don't pass
         return value
     except (ValueError, RecursionError) as e:
         raise Refused("PARSE_ERROR") from e
@@ -305,16 +306,22 @@ def extract_records(artifacts: DataFrame, limits: Limits = Limits(), method: str
 
     def run(batches):
         extractor = Extractor(limits, method)
+        # A cell may be as large as its file.
+        csv.field_size_limit(max(limits.max_bytes_per_artifact, limits.max_expanded_bytes_per_archive, 1 << 17))
         for batch in batches:
             rows = []
             for a, loc, kind, size, data in zip(*(batch[c] for c in ("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content"))):
                 reason, records, covered = None, [], None
                 try:
-                    if size > limits.max_bytes_per_artifact:
+                    # What is staged for a file is its content, so its size bounds the work folder's use.
+                    if size > min(limits.max_bytes_per_artifact, limits.max_workdir_bytes):
                         raise Refused("LIMIT_EXCEEDED")
                     if kind not in COVERAGE:
                         raise Refused("UNSUPPORTED_FORMAT")
+                    began = time.monotonic()
                     records, covered = extractor.extract(kind, bytes(data))
+                    if (time.monotonic() - began) * 1000 > limits.max_processing_ms:
+                        raise Refused("LIMIT_EXCEEDED")
                     if "UNKNOWN" in covered:
                         raise Refused("UNKNOWN_COVERAGE")
                 except Refused as e:

@@ -58,6 +58,10 @@ def check_tree(root: str) -> None:
                 raise UnsafeInput(f"not a plain file or folder: {name}")
 
 
+#: Bytes of a file that a row may hold; larger files are refused unread.
+READABLE = 2_000_000_000
+
+
 def empty_files(spark: SparkSession, root: str) -> list[str]:
     """Files without bytes, which Spark's file scans leave out."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -81,14 +85,20 @@ def read_corpus(spark: SparkSession, root: str, method: str = "sha2-256") -> Dat
     if "://" not in root:
         root = os.path.abspath(root)
         check_tree(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Spark can't hold a larger file in a row; its id comes of its place and size, and it has no content.
+    files, large = found.where(F.col("length") <= READABLE), found.where(F.col("length") > READABLE).select("path", "length")
     rel = relative(F.col("path"), root)
+    large = large.select(
+        digest(F.concat_ws("\n", F.lit("unread"), rel, F.col("length").cast("string")), method).alias("artifact_id"), digest(rel, method).alias("source_locator_hash"), rel.alias("rel"),
+        F.col("length").alias("size_bytes"), artifact_type(rel).alias("artifact_type"), F.lit(None).cast("binary").alias("content"),
+    )
     empty = spark.createDataFrame([(p, 0, bytearray()) for p in empty_files(spark, root)], "path string, length long, content binary")
     named = files.select("path", "length", "content").unionByName(empty).withColumn("rel", rel)
     return named.select(
         digest(F.col("content"), method).alias("artifact_id"), digest(F.col("rel"), method).alias("source_locator_hash"), "rel",
         F.col("length").alias("size_bytes"), artifact_type(F.col("rel")).alias("artifact_type"), "content",
-    )
+    ).unionByName(large)
 
 
 def _quoted(root: str) -> str:

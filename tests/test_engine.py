@@ -1,5 +1,7 @@
 """Packs end to end: goldens, refusals, tampering, resume, determinism."""
 
+import hashlib
+import hmac
 import io
 import json
 import os
@@ -58,8 +60,6 @@ def pack_of(spark, tmp, files, *classes, **options):
     for r in rows:
         found = list(Path(f"{tmp}/pack/sanitized").glob(f"{r['source_locator_hash']}__*"))
         outputs[r["source_locator_hash"]] = found[0].read_text() if found else None
-    import hashlib
-
     method = options.get("method", "sha2-256")
     h = (lambda s: blake3(s.encode()).hex()) if method == "blake3" else (lambda s: hashlib.sha256(s.encode()).hexdigest())
     by_hash = {r["source_locator_hash"]: r for r in rows}
@@ -162,6 +162,47 @@ def test_bad_policies(change):
         compile_policy({"schema_version": "policy.v1", "classes": [SECRET], "defaults": {}, "scopes": []} | change)
 
 
+def test_limits_of_work_folder_and_time(spark, tmp_path):
+    _, got = pack_of(spark, tmp_path / "a", {"a.txt": "y" * 1024, "b.txt": "y" * 199}, limits=Limits(max_workdir_bytes=200))
+    assert sorted(r or "" for r, _ in got.values()) == ["", "LIMIT_EXCEEDED"]
+    _, got = pack_of(spark, tmp_path / "b", {"a.zip": zipped({f"{i}.txt": "y" * 50_000 for i in range(200)})}, limits=Limits(max_processing_ms=1, max_expansion_ratio=10_000))
+    assert [r for r, _ in got.values()] == ["LIMIT_EXCEEDED"]
+
+
+def test_large_cells_and_numbers_without_bounds(spark, tmp_path):
+    _, got = pack_of(spark, tmp_path, {"big.csv": "a,b\n1," + "z" * 200_000 + "\n", "inf.json": '{"a": 1e400}'})
+    assert sorted(r or "" for r, _ in got.values()) == ["", "PARSE_ERROR"]
+
+
+def test_posix_names_are_rewritten(spark, tmp_path):
+    letters = SECRET | {"detectors": [{"kind": "regex", "pattern": "SECRET [[:alpha:]]+"}]}
+    _, got = pack_of(spark, tmp_path, {"a.txt": "SECRET Xyz"}, letters)
+    assert [t for _, t in got.values()] == ["{{S}}"]
+
+
+def test_proof_key_is_not_in_the_pack(spark, tmp_path):
+    """Neither the ids of the manifest nor a plain digest gives a token."""
+    rules, source = policy(tmp_path, SECRET), corpus(tmp_path, {"a.txt": "SECRET"})
+    assert engine.run(spark, source, f"{tmp_path}/pack", rules) == engine.OK
+    manifest = json.loads(Path(f"{tmp_path}/pack/evidence/run_manifest.json").read_text())
+    (token,) = json.loads(Path(f"{tmp_path}/pack/evidence/artifacts.ndjson").read_text())["proof_tokens"]
+    run_id, corpus_id = bytes.fromhex(manifest["run_id"]), bytes.fromhex(manifest["input_corpus_id"])
+    guess = hashlib.sha256(b"lustrate.proof.key" + run_id + corpus_id)
+    assert token not in {hashlib.sha256(guess.hexdigest().encode() + b"SECRET").hexdigest(), hmac.new(guess.digest(), b"SECRET", hashlib.sha256).hexdigest()}
+    # A holder of the files can make the key again.
+    root = hashlib.sha256(engine.SECRET + hashlib.sha256(engine.SECRET + b"SECRET").digest()).digest()
+    key = hashlib.sha256(b"lustrate.proof.key" + run_id + root).digest()
+    assert token == hmac.new(key, b"SECRET", hashlib.sha256).hexdigest()
+    assert manifest["proof_key_commitment"] == hashlib.sha256(b"lustrate.proof.commitment" + key).hexdigest()
+
+
+def test_bad_patterns_are_wrong_use(spark, tmp_path):
+    for i, bad in enumerate(("(", "a**", "x*", "[[:nope:]]")):
+        (tmp_path / str(i)).mkdir()
+        rules = policy(tmp_path / str(i), SECRET | {"detectors": [{"kind": "regex", "pattern": bad}]})
+        assert main(["lint", "--policy", rules]) == engine.USAGE
+
+
 def test_limits_file(tmp_path):
     (tmp_path / "l.json").write_text('{"schema_version": "limits.v1", "archive": {"max_entries_per_archive": 0}}')
     assert load_limits(tmp_path / "l.json").max_entries_per_archive == 0
