@@ -120,6 +120,11 @@ def parts(text: str) -> list[str]:
     return words if all(len(w) <= LONGEST for w in words) else [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
+def has_letter(word: str) -> bool:
+    """True also for words like ``x²``, whose other signs are no letters."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def fit(labelled: DataFrame, vocab_path: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and a probability for each (piece, language), from ``labelled`` (doc_id, text, lang)."""
     spark = labelled.sparkSession
@@ -188,7 +193,7 @@ def predict(docs: DataFrame, vocab_path: str, languages: list[str], probs: np.nd
                     rows.update(zip(new, range(len(table), len(table) + len(new))))
                     table = np.vstack([table, *(word_scores(new[i : i + 10_000], vocab, held.value) for i in range(0, len(new), 10_000))])
                 for words in texts:
-                    if not languages or not any(w.isalpha() for w in words):
+                    if not languages or not any(map(has_letter, words)):
                         names.append("und")
                         scores.append(0.0)
                         continue
