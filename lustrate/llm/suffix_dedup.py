@@ -18,7 +18,8 @@ smaller id, or earlier in the same one. Strings never cross documents and are ju
 
 Results for odd input: a null text is empty; rows with equal id and text count as one; ids that are
 null come after all others; among different texts with one id the order is that of a hash of the
-text; an empty table gives no rows; other columns are passed over.
+text; very long texts are hashed piece by piece; an empty table gives no rows; other columns are
+passed over.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 def cut_segments(marked: DataFrame, with_bytes: bool) -> DataFrame:
     """Segments named in ``marked`` (doc, tag, bytes, marks: arrays of anchor, start, count), with a
-    hash of their bytes, or the bytes."""
-    schema = "anchor long, doc long, tag long, start int, count int, " + ("segment binary" if with_bytes else "same long")
+    128-bit hash of their bytes, or the bytes."""
+    schema = "anchor long, doc long, tag long, start int, count int, " + ("segment binary" if with_bytes else "same binary")
 
     def run(batches):
         for batch in batches:
@@ -120,7 +121,7 @@ def cut_segments(marked: DataFrame, with_bytes: bool) -> DataFrame:
             for doc, tag, text, anchor, start, count in zip(*(batch[c] for c in ("doc", "tag", "bytes", "anchors", "starts", "counts"))):
                 for a, s, n in zip(anchor, start, count):
                     cut = text[s : s + n + LENGTH - 1]
-                    rows.append((a, doc, tag, s, n, cut if with_bytes else int.from_bytes(hashlib.blake2b(cut, digest_size=8).digest(), "little", signed=True)))
+                    rows.append((a, doc, tag, s, n, cut if with_bytes else hashlib.blake2b(cut, digest_size=16).digest()))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
                     rows = []
@@ -249,9 +250,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept."""
     scratch = Scratch(docs.sparkSession, "suffix")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    raw = raw.select("*", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("bytes").alias("tag"), F.sha2("bytes", 256).alias("digest"))
-    firsts = scratch.save(raw.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "firsts")
-    first = F.coalesce("first", "doc") == F.col("doc")
+    # The tag of a null id is not negative, that of any other is: nulls come last, whatever the ids.
+    hashed = F.xxhash64("bytes")
+    tag = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(hashed, 1)).otherwise(hashed.bitwiseOR(F.lit(-(2**63))))
+    raw = raw.select("*", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), tag.alias("tag"), F.sha2("bytes", 256).alias("digest"))
+    place = F.struct("doc", "tag")
+    firsts = scratch.save(raw.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "firsts")
+    first = F.coalesce("first", place) == place
     rows = raw.join(small(firsts, 96, MARKS_BYTES), "digest", "left")
     texts = rows.where(first & (F.octet_length("bytes") >= LENGTH)).select("doc", "tag", "bytes")
 
@@ -289,11 +294,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gone = F.octet_length("bytes") >= LENGTH
     left = F.when(gone, F.lit(b"")).otherwise(F.col("bytes"))
     copies = copies.select(
-        "doc", F.octet_length("bytes").cast("long").alias("n_bytes"), F.when(gone, F.octet_length("bytes")).otherwise(0).cast("long").alias("n_removed"),
+        "doc", "tag", F.octet_length("bytes").cast("long").alias("n_bytes"), F.when(gone, F.octet_length("bytes")).otherwise(0).cast("long").alias("n_removed"),
         gone.cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), left.alias("kept"),
     )
-    out = kept.drop("tag").unionByName(copies)
-    return out.select(F.when(F.col("doc") < 2**63 - 1, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    out = kept.unionByName(copies)
+    return out.select(F.when(F.col("tag") < 0, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op2_suffix_repeats(spark, sf_dir):
