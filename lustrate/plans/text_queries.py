@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lustrate.functions.digests import digest, fold
 from lustrate.operators import detect, rewrite
 from lustrate.plans.policy import Detector, Policy, PolicyClass
+from lustrate.scratch import spread
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"[0-9]{1,3}(\.[0-9]{1,3}){3}"
@@ -178,9 +179,12 @@ SQL_STATES = f"""
 def sanitized(spark, sf_dir, policy: Policy = STANDARD):
     """Documents with counts by class, the rewritten text and whether it still holds anything."""
     counts = {f"n_{c.class_id.split('.')[-1].lower()}": detect.class_count(F.col("text"), c) for c in policy.classes}
-    rows = documents(spark, sf_dir).select("doc_id", "text").withColumns(counts | {"text_out": rewrite.rewrite(F.col("text"), policy)})
+    # A generator is a border that the optimiser moves no expression across: what is read several times
+    # after it is evaluated once.
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", *[c.alias(n) for n, c in counts.items()], F.explode(F.array(rewrite.rewrite(F.col("text"), policy))).alias("text_out"))
     total = sum((F.col(n) for n in counts), F.lit(0).cast("long"))
-    return rows.withColumns({"n_findings": total, "residual": detect.residual(F.col("text_out"), policy)})
+    left = F.explode(F.array(detect.residual(F.col("text_out"), policy))).alias("residual")
+    return rows.select("doc_id", "text", *counts, "text_out", total.alias("n_findings"), left)
 
 
 @query(f"""SELECT doc_id, CASE WHEN residual THEN 'QUARANTINED' ELSE 'VERIFIED' END AS state, CASE WHEN residual THEN 'VERIFICATION_FAILED' END AS reason_code, n_findings,

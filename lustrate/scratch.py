@@ -59,6 +59,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer tasks than the session has cores, dealt over all cores; others as they are.
+
+    Small files and single row groups would leave cores idle under heavy expressions; large tables
+    have tasks enough and are never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """``df`` (a saved table) with a broadcast hint if its counted rows fit ``limit`` bytes.
 
