@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lustrate.llm.hashing import arrow_parts
-from lustrate.scratch import Scratch
+from lustrate.scratch import Scratch, spread
 
 #: Most words of the transducer: it bounds the driver's work and the file sent to executors.
 LEXICON = 65_536
@@ -449,7 +449,7 @@ def frequent_words(docs: DataFrame, vocab_path: str, scratch: Scratch, lexicon:
 def encode(docs: DataFrame, vocab_path: str, lexicon: int = LEXICON, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and the ids themselves if asked."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = spread(docs.select("doc_id", "text"))
     vocab = vocabulary(vocab_path)
     scratch = Scratch(spark, "bpe")
     chosen = frequent_words(docs, vocab_path, scratch, lexicon)

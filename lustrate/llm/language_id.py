@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lustrate.scratch import Scratch
+from lustrate.scratch import Scratch, spread
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language in the fit, rounds of the fit, and letters of a word's part.
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, vocab_path: str) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
     languages, probs = learn(docs, vocab_path)
-    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), vocab_path, languages, probs)
+    return predict(spread(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")), vocab_path, languages, probs)
 
 
 def default_vocabulary() -> str:

@@ -145,6 +145,15 @@ def test_repeats_match_brute_force(spark):
     assert got == brute_repeats(texts)
 
 
+def test_repeats_across_the_pieces_of_a_long_text(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 123, suffix_dedup.PIECE + 20_000, dtype=np.uint8)).decode()
+    border = suffix_dedup.PIECE
+    texts = [long, "start " + long[border - 300 : border + 300] + " end", long[:500]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+
+
 def test_repeats_of_a_hot_anchor(spark, monkeypatch):
     """A line in most documents, in contexts of their own: no anchor's segments beyond ``HOT`` go to one sort."""
     rng = np.random.default_rng(3)
@@ -165,10 +174,10 @@ def test_repeats_of_a_hot_anchor(spark, monkeypatch):
 
 
 def test_repeats_of_odd_rows(spark):
-    rows = spark.createDataFrame([(None, "y" * 150), (4, "y" * 150), (4, "y" * 150), (None, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(None, "y" * 150), (4, "y" * 150), (4, "y" * 150), (None, None), (2**63 - 1, "q" * 120), (None, "q" * 120)], "doc_id long, text string")
     got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(rows).collect())
     # Of equal texts, the smallest id is first, and ids that are null come last.
-    assert got == {(4, 150, 149): 2, (None, 0, 0): 1, (None, 150, 150): 1}
+    assert got == {(4, 150, 149): 2, (None, 0, 0): 1, (None, 150, 150): 1, (2**63 - 1, 120, 119): 1, (None, 120, 120): 1}
     assert suffix_dedup.remove_repeats(rows.where("false")).count() == 0
 
 
@@ -176,7 +185,12 @@ def test_repeats_of_odd_rows(spark):
 @given(st.text(alphabet="aabÿ", min_size=1, max_size=300), st.booleans())
 def test_induced_order_and_prefixes(text, spill):
     raw = np.frombuffer(text.encode("latin-1"), dtype=np.uint8)
-    parts = list(induced_sort.sorted_suffixes(raw, 24, budget=200 if spill else 1 << 20))
+    held = induced_sort.BLOCK
+    induced_sort.BLOCK = 5 if spill else held
+    try:
+        parts = list(induced_sort.sorted_suffixes(raw, 24, budget=200 if spill else 1 << 20))
+    finally:
+        induced_sort.BLOCK = held
     order, prefix = np.concatenate([p for p, _ in parts]), np.concatenate([q for _, q in parts])
     cut = [bytes(raw[i : i + 24]) for i in order]
     assert sorted(order.tolist()) == list(range(len(raw))) and cut == sorted(cut)
@@ -403,8 +417,8 @@ def test_language_of_held_out_documents(spark, sf_dir):
 
 def test_language_of_odd_rows(spark):
     vocab = language_id.default_vocabulary()
-    got = {r.doc_id: r for r in language_id.identify(docs(spark, ODD + ["123 456", "the house " * 30, "²"]).withColumn("lang", F.when(F.col("doc_id") != 3, F.col("lang"))), vocab).collect()}
-    assert [got[i].lang_pred for i in (0, 1, 2, 12, 14)] == ["und"] * 5 and got[13].lang_pred == "en"
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, ODD + ["123 456", "the house " * 30, "²", "x² m²"]).withColumn("lang", F.when(F.col("doc_id") != 3, F.col("lang"))), vocab).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2, 12, 14)] == ["und"] * 5 and got[13].lang_pred == got[15].lang_pred == "en"
     assert {r.lang_pred for r in language_id.identify(docs(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string")), vocab).collect()} == {"und"}
     assert language_id.identify(docs(spark, ODD).where("false"), vocab).count() == 0
 
