@@ -8,14 +8,17 @@ starts its records with a header that names a fresh random id; this is the line
 Spark splits archives of any size again, and ``Content-Length`` is checked on every record read.
 
 Results for odd input: a null payload is empty; empty payloads are payloads like others (see
-``least``); a null page id is written without its header and never becomes another record's
-original unless all of its copies lack one, in which case all stay responses; rows that share the
-largest page id and the payload all stay responses; an empty table gives archives without records.
+``least``); a null page id gives the record a name made of its digest and URL, is null again when
+read, and never becomes another record's original unless all of its copies lack one, in which case
+all stay responses; rows that share the largest page id and the payload all stay responses; a very
+long payload is one record like others; control letters and blanks of a URL are written by their
+codes; an empty table gives archives without records; other columns are passed over.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,13 +67,17 @@ def write_archives(pages: DataFrame, path: str, mark: str, scratch: Scratch, lea
     rows = resolve_revisits(rows, scratch, least)
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     revisit = F.col("original").isNotNull()
-    # A URL must not break out of its header line.
-    target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    # A URL must not break out of its header line; each such letter keeps a code of its own.
+    unsafe = [chr(code) for code in (*range(0x21), 0x7F)]
+    escaped = reduce(lambda url, letter: F.replace(url, F.lit(letter), F.lit(f"%{ord(letter):02X}")), unsafe, F.col("url"))
+    target = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), escaped).otherwise(F.col("url"))
+    # A record without a page id is named by what it holds.
+    unnamed = F.concat(F.lit("<urn:sha1:"), "digest", F.lit(":"), F.hex(F.xxhash64("url")), F.lit(">"))
     body = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Warcinfo-ID: {mark}{CRLF}"),
         field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        field("WARC-Record-ID", record_name(F.col("page_id"))),
+        field("WARC-Record-ID", F.coalesce(record_name(F.col("page_id")), unnamed)),
         F.lit(f"WARC-Date: {DATE}{CRLF}"),
         field("WARC-Target-URI", target),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),

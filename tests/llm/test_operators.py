@@ -333,6 +333,9 @@ def test_warc_round_trip(spark):
         assert got[i].payload == ((h or "") if i == last else "")
     raw = b"".join(p.read_bytes() for p in Path(scratch.path("a").removeprefix("file://")).glob("part-*"))
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+    # Every record has a name, also without a page id, and a URL's control letters keep their codes.
+    assert raw.count(b"WARC-Record-ID: <urn:page:") == 8 and raw.count(b"WARC-Record-ID: <urn:sha1:") == 2
+    assert got[1].url == "http://h/1%0D%0AX:%20y"
 
 
 def test_warc_least_size_and_empty(spark):
