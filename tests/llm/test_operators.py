@@ -467,8 +467,10 @@ def brute_near(texts, width, share):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_groups_match_brute_force(spark, width):
+@pytest.mark.parametrize("width, exact", [(4, False), (5, False), (4, True)])
+def test_near_groups_match_brute_force(spark, monkeypatch, width, exact):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "GROUP", 8)
     rng = np.random.default_rng(width)
     words = [f"w{i}" for i in range(500)]
     base = list(rng.choice(words, 150))
@@ -479,7 +481,7 @@ def test_near_groups_match_brute_force(spark, width):
             t[rng.integers(150)] = f"own{i}x{rng.integers(9)}"
         texts.append(" ".join(t))
     texts += [" ".join(base[:60]) + " " + " ".join(rng.choice(words, 60)) for _ in range(30)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs(spark, texts), width=width).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs(spark, texts), width=width, exact=exact).collect()}
     assert [got[i] for i in range(len(texts))] == brute_near(texts, width, 80)
 
 
