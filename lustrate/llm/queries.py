@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc_revisits": warc.OP5_SQL,
     "op7_url_rules": url_filter.OP7_SQL,
     "op10_radix_dedup": exact_dedup.OP10_SQL,
 }

@@ -109,6 +109,13 @@ def read_archives(spark: SparkSession, path: str, mark: str) -> DataFrame:
     )
 
 
+#: Of equal payloads the record with the largest page id is the response; base32 takes 20 bits, four letters, at a time.
+OP5_SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', CAST(((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM p"""
+
+
 def op5_warc_revisits(spark, sf_dir):
     """Writes every page as a WARC record, reads the archives back and reports each record."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lustrate.llm import bpe, decontaminate, exact_dedup, induced_sort, language_id, near_dedup, quality, sharding, suffix_dedup, url_filter, warc
+from lustrate.llm import bpe, decontaminate, exact_dedup, induced_sort, language_id, near_dedup, quality, queries, sharding, suffix_dedup, url_filter, warc
 from lustrate.llm.hashing import shingle_sets
 from lustrate.scratch import Scratch
 
@@ -70,9 +71,35 @@ def test_tables_without_rows_and_splits_without_rows(spark, bpe_file, number):
     assert operator(few).count() == {4: 2, 7: 1}.get(number, 3)
 
 
+@pytest.mark.parametrize("name", ["op5_warc_revisits", "op7_url_rules", "op10_radix_dedup"])
+def test_queries_match_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLE_SQL[name])
+    names = sorted(df.columns)
+    assert sorted(rel.columns) == names
+    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(tuple(dict(zip(rel.columns, r))[c] for c in names) for r in rel.fetchall())
+
+
 # ---- 1 sharding
 
 
+def test_sharding_query_reports_whole_texts(spark, sf_dir):
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall())
+    got = sharding.op1_hypergeometric_shards(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts) and {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, []).append(r.slot)
+    assert set(held) <= set(range(24)) and all(sorted(x) == list(range(len(x))) for x in held.values())
+    counts = [len(held.get(s, [])) for s in range(24)]
+    assert max(counts) - min(counts) <= 1
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"), F.lit(1).alias("slot"))
     out = sharding.shard_rows(rows, 7, ["doc_id"], block_rows=50).toPandas()
@@ -215,11 +242,32 @@ def test_quality_shrinks_sparse_sites(spark):
     got = {r.doc_id: r for r in quality.score_quality(df, marks).collect()}
     assert len(got) == 602 and all(0 <= r.score <= 1 for r in got.values())
     assert np.mean([got[i].kept == bool(q) for i, q in labels[300:]]) > 0.97
+    assert quality.score_quality(df.where("doc_id >= 600"), marks).count() == 2
     none = quality.score_quality(df, marks.where("false"))
     assert {r.evidence for r in none.collect()} == {0.5}
     assert quality.score_quality(df.where("false"), marks).count() == 0
 
 
+def test_quality_of_a_sparse_site_lies_between_its_own_rate_and_the_prior(spark):
+    """Hosts apart in quality: a host of one document is drawn to the global mean, one of hundreds is not."""
+    rows, labels = [], []
+    for host, n, good in (("bad", 300, 0.1), ("fine", 300, 0.9), ("small", 1, 0.0), ("also", 1, 1.0)):
+        for i in range(n):
+            rows.append((len(rows), "same words in every text", f"{host}/p", "en"))
+            labels.append((len(labels), int(i < good * n)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality.score_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    prior = sum(q for _, q in labels) / len(labels)
+    bad, fine, small, also = (got[i].host_posterior for i in (0, 300, 600, 601))
+    assert abs(bad - 0.1) < 0.02 and abs(fine - 0.9) < 0.02
+    assert 0.05 < small < prior < also < 0.95
+    # Sparse hosts are shrunk by more than crowded ones, and paths lie between their hosts and their own rates.
+    assert small - 0 > bad - 0.1 and 1 - also > 0.9 - fine
+    assert got[600].path_posterior <= small and got[601].path_posterior >= also
+    # Equal texts: only the site tells them apart.
+    assert got[0].evidence == got[300].evidence and got[0].score < 0.5 < got[300].score
+
+
 # ---- 4 decontamination
 
 
