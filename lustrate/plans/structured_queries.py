@@ -3,7 +3,6 @@ r"""Queries over tables as CSV records, JSON trees, containers and mail."""
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 import zipfile
 
@@ -148,20 +147,75 @@ def json_number_unscanned(spark, sf_dir):
     return tree_units(spark, sf_dir).where("unit_kind = 'json_leaf'").select(F.col("artifact_id").cast("long").alias("doc_id"), "pointer")
 
 
+ARTIFACT = ["artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content"]
+
+
+def files(rows, key, kind: str, text):
+    """Rows as the files of a corpus: ``text`` is what each holds, ``key`` its id."""
+    content = text.cast("binary")
+    return rows.select(F.col(key).cast("string"), F.lit(""), F.lit(kind), F.octet_length(content).cast("long"), content).toDF(*ARTIFACT)
+
+
+def rebuilt_files(artifacts, policy: Policy, key: str):
+    """Files extracted, cut into units, rewritten and put together again, as the engine does it."""
+    records = extract.extract_records(artifacts)
+    found = units.scan_units(records)
+    changed = found.withColumn("text_out", F.when(F.col("rewritable"), rewrite.rewrite(F.col("text"), policy, tables.applies())).otherwise(F.col("text")))
+    return units.assemble(units.rebuild_records(records, changed)).select(F.col("artifact_id").cast("long").alias(key), "output")
+
+
 @query("""SELECT event_id, '{"event_type":"' || event_type || '","k":' || json_extract(props, '$.k') || ',"user_id":' || user_id || '}' AS canonical FROM events""")
 def json_canonical(spark, sf_dir):
-    """Keys sorted, no blanks; objects of known shape need no parser in Python."""
-    value = F.struct("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), "user_id")
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(value).alias("canonical"))
+    """JSON files with blanks and keys in any order, extracted: keys sorted, no blanks."""
+    text = F.format_string('{ "user_id" : %d,\n\t"k":%s , "event_type": "%s"}\n', "user_id", F.get_json_object("props", "$.k"), "event_type")
+    records = extract.extract_records(files(table(spark, sf_dir, "events"), "event_id", "JSON", text))
+    return records.select(F.col("artifact_id").cast("long").alias("event_id"), F.col("record").alias("canonical"))
 
 
-@query(r"""SELECT conv_id, string_agg('{"role":"' || role || '","turn":' || turn || ',"words":' || len(regexp_extract_all(text, '[^ \n]+')) || ',"mark":"' || regexp_replace(role, '(?:user)+', '{{Role}}', 'g') || '"}', chr(10) ORDER BY turn, role) AS ndjson
+@query(r"""SELECT conv_id, string_agg('{"meta":{"role":"' || regexp_replace(role, '(?:user)+', '{{Role}}', 'g') || '","user":' || turn || '},"words":' || len(regexp_extract_all(text, '[^ \n]+')) || '}' || chr(10), '' ORDER BY turn, role) AS output
 FROM conversations GROUP BY conv_id""")
 def ndjson_rewrite(spark, sf_dir):
-    policy = Policy((one("Role", Detector("regex", "user")),))
-    line = F.to_json(F.struct("role", "turn", F.regexp_count("text", F.lit(r"[^ \n]+")).alias("words"), rewrite.rewrite(F.col("role"), policy).alias("mark")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("place"), line.alias("line"))
-    return evidence.in_order(rows, "conv_id", "place", "line", "ndjson")
+    """Files of JSON lines (blank ones among them), with strings rewritten, numbers and keys left alone."""
+    line = F.to_json(F.struct(F.regexp_count("text", F.lit(r"[^ \n]+")).alias("words"), F.struct(F.col("turn").alias("user"), "role").alias("meta")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("place"), F.concat(F.lit(" "), line, F.lit("\n")).alias("line"))
+    whole = evidence.in_order(rows, "conv_id", "place", "line", "lines")
+    return rebuilt_files(files(whole, "conv_id", "NDJSON", F.col("lines")), Policy((one("Role", Detector("regex", "user")),)), "conv_id")
+
+
+NOTED = r"""SELECT s_nationkey, 's_suppkey{d}note{d}s_name' || chr(10) || string_agg(s_suppkey || '{d}' || {note} || '{d}' || regexp_replace(s_name, '(?:[0-9]{{3,}})+', '{{{{Id}}}}', 'g') || chr(10), '' ORDER BY s_suppkey) AS output
+FROM supplier GROUP BY s_nationkey"""
+
+
+def noted_files(spark, sf_dir, kind: str, delimiter: str):
+    """A file of suppliers for each nation; the notes hold delimiters, quotes and line ends."""
+    note = F.concat(F.lit('"No. 12345, ""so'), F.lit(delimiter), F.lit('called""\nof "'))
+    line = F.concat_ws(delimiter, F.col("s_suppkey").cast("string"), note, F.concat(F.lit('"'), "s_name", F.lit('"')))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.concat(line, F.lit("\r\n")).alias("line"))
+    whole = evidence.in_order(rows, "s_nationkey", "s_suppkey", "line", "lines")
+    text = F.concat(F.lit(delimiter.join(("s_suppkey", "note", "s_name")) + "\r\n"), "lines")
+    policy = Policy((one("Id", DIGITS, selector="csv_header", fields=["s_name"]),))
+    return rebuilt_files(files(whole, "s_nationkey", kind, text), policy, "s_nationkey").select(F.col("s_nationkey").cast("int"), "output")
+
+
+@query(NOTED.format(d=",", note="""'"No. 12345, ""so,called""' || chr(10) || 'of "'"""))
+def csv_file_rewrite(spark, sf_dir):
+    """CSV files parsed, one column rewritten, and written with quotes only where cells need them."""
+    return noted_files(spark, sf_dir, "CSV", ",")
+
+
+@query(NOTED.format(d="\t", note="""'"No. 12345, ""so' || chr(9) || 'called""' || chr(10) || 'of "'""").replace("\t", "' || chr(9) || '"))
+def tsv_file_rewrite(spark, sf_dir):
+    return noted_files(spark, sf_dir, "TSV", "\t")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 'PARSE_ERROR' END AS reason_code FROM part""")
+def malformed_files(spark, sf_dir):
+    """Broken CSV and JSON files end in a reason; a sound one in eight does not."""
+    broken = ("a,b\n1,2\n", "a,b\n1\n", 'a,b\n"1,2\n', "", '{"a":1e400}', '{"a":NaN}', '{"a":"\\ud800"}', '{"a":1')
+    turn = F.pmod("p_partkey", F.lit(8))
+    text = F.element_at(F.array(*[F.lit(x) for x in broken]), (turn + 1).cast("int"))
+    rows = files(table(spark, sf_dir, "part"), "p_partkey", "CSV", text).withColumn("artifact_type", F.when(F.pmod(F.col("artifact_id").cast("long"), F.lit(8)) < 4, F.lit("CSV")).otherwise(F.lit("JSON")))
+    return extract.extract_records(rows).select(F.col("artifact_id").cast("long").alias("p_partkey"), F.col("reason").alias("reason_code"))
 
 
 @query()
@@ -225,16 +279,25 @@ def mbox_separator_valid(spark, sf_dir):
     return lines.select("o_orderkey", "line", F.col("line").rlike(f"^(?:{extract.MBOX_SEPARATOR})\\z").alias("valid"))
 
 
-@query("""SELECT conv_id, CAST(turn AS BIGINT) AS message_index, 'header' AS part, CAST(0 AS BIGINT) AS part_index, 'X-Role: ' || role AS shown FROM conversations
-UNION ALL SELECT conv_id, CAST(turn AS BIGINT), 'body', CAST(0 AS BIGINT), sha256(text) FROM conversations""")
+@query("""WITH m AS (SELECT conv_id, role, text, row_number() OVER w - 1 AS i, CASE WHEN lead(turn) OVER w IS NULL THEN '' ELSE chr(10) END AS ends FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+SELECT conv_id, i AS message_index, 'header' AS part, CAST(0 AS BIGINT) AS part_index, 'X-Role: ' || role AS shown FROM m
+UNION ALL SELECT conv_id, i, 'header', CAST(1 AS BIGINT), 'Content-Type: text/plain; charset=utf-8' FROM m
+UNION ALL SELECT conv_id, i, 'body', CAST(0 AS BIGINT), sha256(substr(replace(chr(10) || text || ends, chr(10) || 'From ', chr(10) || '>From '), 2)) FROM m""")
 def mail_records(spark, sf_dir):
-    """Records of messages that are columns already: one of the header and one of the body."""
-    index = lambda i: F.lit(i).cast("long").alias("part_index")
-    parts = F.array(
-        F.struct(F.lit("header").alias("part"), index(0), F.concat(F.lit("X-Role: "), "role").alias("shown")),
-        F.struct(F.lit("body").alias("part"), index(0), digest(F.col("text")).alias("shown")),
+    """A mailbox for each conversation, parsed to the records of its headers and bodies."""
+    body = F.expr(r"substring(replace(concat('\n', text), '\nFrom ', '\n>From '), 2)")
+    message = F.concat(F.lit("From a@example.org Mon Jan  1 00:00:00 2024\nX-Role: "), "role", F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), body)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("place"), message.alias("message"))
+    whole = evidence.in_order(rows, "conv_id", "place", "message", "box")
+    records = extract.extract_records(files(whole, "conv_id", "MBOX", F.col("box")))
+    held = F.from_json("record", "message_index long, header_index long, key string, value string, body_index long, text string")
+    rows = records.select(F.col("artifact_id").cast("long").alias("conv_id"), held.alias("r"))
+    header = F.col("r.key").isNotNull()
+    return rows.select(
+        "conv_id", "r.message_index", F.when(header, F.lit("header")).otherwise(F.lit("body")).alias("part"),
+        F.coalesce("r.header_index", "r.body_index").alias("part_index"),
+        F.when(header, F.concat("r.key", F.lit(": "), "r.value")).otherwise(digest(F.col("r.text"))).alias("shown"),
     )
-    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("message_index"), F.explode(parts).alias("p")).select("conv_id", "message_index", "p.*")
 
 
 def build(kind: str, text: str) -> bytes:
@@ -242,7 +305,7 @@ def build(kind: str, text: str) -> bytes:
     out = io.BytesIO()
     if kind in ("ZIP", "DOCX"):
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("word/document.xml" if kind == "DOCX" else "notes.txt", f"<w>{json.dumps(text)[1:-1].replace('&', '&amp;').replace('<', '&lt;')}</w>" if kind == "DOCX" else text)
+            z.writestr("word/document.xml" if kind == "DOCX" else "notes.txt", f"<w>[{text.replace('&', '&amp;').replace('<', '&lt;')}]</w>" if kind == "DOCX" else text)
     elif kind == "TAR":
         with tarfile.open(fileobj=out, mode="w") as t:
             info = tarfile.TarInfo("notes.txt")
@@ -256,10 +319,11 @@ def build(kind: str, text: str) -> bytes:
     return out.getvalue()
 
 
-@query("""SELECT doc_id, k AS artifact_type, CASE WHEN k IN ('EML', 'MBOX') THEN CAST(4 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS records, true AS holds_text
-FROM (SELECT doc_id, unnest(['ZIP', 'TAR', 'DOCX', 'EML', 'MBOX']) AS k FROM documents)""")
+@query("""SELECT doc_id, k AS artifact_type, CASE WHEN k IN ('EML', 'MBOX') THEN CAST(4 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS records,
+  sha256(CASE k WHEN 'DOCX' THEN '[' || t || ']' || chr(10) WHEN 'MBOX' THEN substr(replace(chr(10) || t, chr(10) || 'From ', chr(10) || '>From '), 2) ELSE t END) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t, unnest(['ZIP', 'TAR', 'DOCX', 'EML', 'MBOX']) AS k FROM documents)""")
 def container_round_trip(spark, sf_dir):
-    """Every document in five kinds of containers, extracted again."""
+    """Every document in five kinds of containers, extracted again: the text is that put in."""
     kinds = ("ZIP", "TAR", "DOCX", "EML", "MBOX")
 
     def pack(batches):
@@ -270,5 +334,5 @@ def container_round_trip(spark, sf_dir):
     packed = documents(spark, sf_dir).select("doc_id", "text").mapInPandas(pack, "artifact_id string, source_locator_hash string, artifact_type string, size_bytes long, content binary")
     # Deflated prose with long repeats can expand further than the default limit allows.
     records = extract.extract_records(packed, Limits(max_expansion_ratio=2000)).where("reason IS NULL")
-    rows = records.groupBy("artifact_id", "artifact_type").agg(F.count("*").alias("records"), F.max(F.length("record") > 20).alias("holds_text"))
-    return rows.select(F.col("artifact_id").cast("long").alias("doc_id"), "artifact_type", "records", "holds_text")
+    rows = records.groupBy("artifact_id", "artifact_type").agg(F.count("*").alias("records"), F.max(digest(F.get_json_object("record", "$.text"))).alias("text_sha256"))
+    return rows.select(F.col("artifact_id").cast("long").alias("doc_id"), "artifact_type", "records", "text_sha256")
