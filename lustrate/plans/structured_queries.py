@@ -18,11 +18,9 @@ from lustrate.sources import extract, inventory
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str = ""):
+def query(sql: str):
     def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
         return f
 
     return register
@@ -218,17 +216,6 @@ def malformed_files(spark, sf_dir):
     return extract.extract_records(rows).select(F.col("artifact_id").cast("long").alias("p_partkey"), F.col("reason").alias("reason_code"))
 
 
-@query()
-def xml_text_extract(spark, sf_dir):
-    def run(batches):
-        for batch in batches:
-            out = batch[["page_id"]].copy()
-            out["text"] = [extract.xml_text(h or "") for h in batch["html"]]
-            yield out
-
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
-
-
 @query("""SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#65;', 'A'), '&amp;', '&') = xml AS same FROM
   (SELECT page_id, html, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS xml FROM pages)""")
 def xml_entities(spark, sf_dir):
@@ -258,16 +245,6 @@ def archive_path_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", raw.alias("raw_path")).select("page_id", "raw_path", path.alias("entry_path"), F.when(path.isNull(), F.lit("UNSAFE_PATH")).alias("reason_code"), is_nested(path).alias("nested"))
 
 
-@query("""WITH entries AS (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS packed, CAST(floor(l_extendedprice) AS BIGINT) AS expanded FROM lineitem),
-totals AS (SELECT l_orderkey, count(*) AS entries, CAST(sum(packed) AS BIGINT) AS packed, CAST(sum(expanded) AS BIGINT) AS expanded FROM entries GROUP BY l_orderkey)
-SELECT l_orderkey, entries, packed, expanded, CASE WHEN entries > 6 OR expanded > 400000 OR expanded > packed * 1500 THEN 'LIMIT_EXCEEDED' END AS reason_code FROM totals""")
-def archive_totals_guard(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor("l_quantity").alias("packed"), F.floor("l_extendedprice").alias("expanded"))
-    sums = rows.groupBy("l_orderkey").agg(F.count("*").alias("entries"), F.sum("packed").alias("packed"), F.sum("expanded").alias("expanded"))
-    over = (F.col("entries") > 6) | (F.col("expanded") > 400000) | (F.col("expanded") > F.col("packed") * 1500)
-    return sums.select("*", F.when(over, F.lit("LIMIT_EXCEEDED")).alias("reason_code"))
-
-
 @query(f"""WITH lines AS (SELECT o_orderkey, 'From user' || o_custkey || '@example.org ' || CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%a %b %d %H:%M:%S %Y') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%a %b %d %H:%M %Y')
   ELSE strftime(o_orderdate, '%Y-%m-%d') END AS line FROM orders)
 SELECT o_orderkey, line, regexp_full_match(line, '{extract.MBOX_SEPARATOR}') AS valid FROM lines""")
