@@ -6,8 +6,9 @@ rarest token; a URL's own tokens fetch candidate rules by an equi-join on that t
 run their expression. A rule without a literal is tested on every URL.
 
 Results for odd input: a null URL, or one without ``://``, has an empty host and path and fits no
-rule that names a host; repeated rows are judged alike; an empty table gives no rows; extra columns
-are passed over.
+rule that names a host; repeated rows are judged alike; a very long URL is one like others; of rules of
+equal rank the one with the greatest name wins; an empty table gives no rows; extra columns are
+passed over.
 """
 
 from __future__ import annotations
@@ -64,6 +65,34 @@ PATTERN_RULES = (
 )
 
 
+#: What ``^`` stands for in filter lists: an ASCII letter other than ``A-Za-z0-9_.%-``.
+SEPARATOR = r"[\x00-\x24\x26-\x2c\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]"
+
+
+def list_rule(line: str) -> UrlRule | None:
+    """A line of a filter list as published for ad blockers: ``||host^path``, ``*``, ``^``, a closing
+    ``|``, ``@@`` for exceptions, which outrank blocks. None for comments and for what a host and path
+    alone can't decide (options, element rules, schemes) or no literal narrows (expressions)."""
+    text = line.strip()
+    allow = text.startswith("@@")
+    body = text[2:] if allow else text
+    if not body.strip("*^|") or body[0] in "![" or "$" in body or "##" in body or "#@#" in body or "://" in body:
+        return None
+    if len(body) > 1 and body[0] == body[-1] == "/":
+        return None
+    domain, ends = body.startswith("||"), body.endswith("|")
+    body = body[2 if domain else 0 : -1 if ends else None]
+    if "|" in body:
+        return None
+    shape = re.sub(r"\*+", "*", body)
+    parts = [".*" if c == "*" else f"(?:{SEPARATOR}|\\z)" if c == "^" else re.escape(c) for c in shape]
+    pattern = "(?is)" + (r"^(?:[^/?#]*\.)?" if domain else "") + "".join(parts) + (r"\z" if ends else "")
+    # A run of letters and digits is a whole token of the URL where ASCII signs or anchors enclose it.
+    framed = ("." if domain else "a") + shape.lower() + ("." if ends else "a")
+    whole = re.findall(r"(?<=[\x00-\x29\x2b-\x2f\x3a-\x60\x7b-\x7f])[a-z0-9]+(?=[\x00-\x29\x2b-\x2f\x3a-\x60\x7b-\x7f])", framed)
+    return UrlRule(text, pattern, tuple(dict.fromkeys(whole)), "allow" if allow else "block", len(text) + (1 << 20) * allow)
+
+
 def split_url(url):
     """Host (A-Z lower-cased) and path of a URL column; both empty without ``://``."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -457,6 +457,37 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(rows.where("false"), rules).count() == 0
 
 
+def test_filter_list_lines():
+    def fits(line, target):
+        return re.search(url_filter.list_rule(line).pattern.replace(r"\z", r"\Z"), target) is not None
+
+    assert fits("||ads.com^", "x.ads.com/a") and fits("||ads.com^", "ads.com") and not fits("||ads.com^", "bads.com/") and not fits("||ads.com^", "ads.com.org/")
+    assert fits("/Banner/*/img^", "h/banner/9/IMG/") and not fits("/banner/*/img^", "h/banner/img-2") and fits("a.js|", "h/a.js") and not fits("a.js|", "h/a.jsx")
+    assert url_filter.list_rule("||ads.com^").literals == ("ads", "com") and url_filter.list_rule("/banner/*/img9").literals == ("banner",)
+    assert url_filter.list_rule("@@||ads.com/ok").verdict == "allow"
+    for line in ("", "! x", "[Adblock]", "##.ad", "a.com##.ad", "||a.com^$third-party", "/ad[0-9]/", "|https://a.com", "**^"):
+        assert url_filter.list_rule(line) is None, line
+
+
+def test_many_rules_against_every_url(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh1"), rng.integers(1, 4))) for _ in range(60)]
+    word = lambda: str(rng.choice(words))
+    shapes = (
+        lambda: f"||{word()}.{word()}^", lambda: f"/{word()}/*{word()}", lambda: f"@@||{word()}.net/{word()}", lambda: f"{word()}-{word()}^", lambda: f"*{word()}.{word()}|", lambda: f".{word()}{word()}{word()}",
+    )
+    rules = tuple(url_filter.list_rule(shapes[i % 6]()) for i in range(600))
+    assert sum(not r.literals for r in rules) > 50
+    rows = [(f"http://{word()}.{word()}.{rng.choice(['net', word(), 'COM'])}/{word()}/{word()}-{word()}{rng.choice(['', '/', '.' + word(), '?q=' + word()])}",) for _ in range(100)]
+    rows += [("http://" + "a." * 50 + "net/" + "z" * 2000,), (None,), rows[0]]
+    got = {r.url: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "url string").withColumns({c: F.lit("x") for c in ("host", "token", "id", "name", "n")}), rules).collect()}
+    tried = [(re.compile(r.pattern.replace(r"\z", r"\Z")), (r.rank, r.name, r.verdict)) for r in rules]
+    assert len(got) == len(set(rows)) and sum(r.pattern is not None for r in got.values()) > 10
+    for r in got.values():
+        want = max((best for pattern, best in tried if pattern.search(r.host + r.path)), default=None)
+        assert (tuple(r.pattern) if r.pattern else None) == want, r.url
+
+
 # ---- 8 language ID
 
 
