@@ -1,5 +1,9 @@
 """Detection as columns: counts, byte spans, residual flags. Counts are raw: each detector's matches,
-unmerged, on the text as given."""
+unmerged, on the text as given.
+
+Places come from running sums over the lengths of gaps and matches, in blocks of about the square root of
+their number, so that a text with n matches takes about n ** 1.5 small steps and the text is split and
+matched once. Patterns may be columns, so one expression serves a table of any number of classes."""
 
 from __future__ import annotations
 
@@ -10,7 +14,35 @@ from pyspark.sql import functions as F
 
 from lustrate.plans.policy import Detector, Policy, PolicyClass
 
-CARD_RUN = "[0-9 -]+"
+#: A maximal run of digits, blanks and hyphens with 13 digits or more. No quantifier gives back what it
+#: took, and runs are entered at their start only, so a text is read in one pass.
+CARD_RUN = "(?<![0-9 -])[ -]*+[0-9](?:[ -]*+[0-9]){12,}+[ -]*+"
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(values: Column, op) -> Column:
+    """The array of ``op`` (associative) over each prefix of ``values``."""
+
+    def fold(block: Column) -> Column:
+        step = lambda out, x: F.concat(out, F.array(op(F.element_at(out, -1), x)))
+        return F.aggregate(F.slice(block, 2, F.size(block)), F.slice(block, 1, 1), step)
+
+    def carried(folded: Column) -> Column:
+        tops = fold(F.transform(folded, lambda b: F.element_at(b, -1)))
+        ahead = lambda t: F.transform(folded, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: op(F.element_at(t, k), x))))
+        return F.flatten(bound(tops, ahead))
+
+    def run(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: fold(F.slice(v, k * w + 1, w)))
+        return F.when(F.size(v) > 0, bound(bound(width, blocks), carried)).otherwise(v)
+
+    return bound(values, run)
 
 
 def digits(text: Column) -> Column:
@@ -53,40 +85,48 @@ def residual(text: Column, policy: Policy, applies=lambda c: F.lit(True)) -> Col
     return F.coalesce(reduce(Column.__or__, [applies(c) & class_found(text, c) for c in policy.classes]), F.lit(False))
 
 
-def spans(text: Column, detector: Detector) -> Column:
-    """Array of (start, end) of a detector's matches, in characters, end exclusive."""
-    pattern = CARD_RUN if detector.kind == "luhn" else detector.pattern
-    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+def hits(text: Column, pattern: Column, luhn: Column, size=F.octet_length) -> Column:
+    """Array of (start, end, hit) of a pattern's matches, end exclusive, in bytes or by ``size``; where
+    ``luhn`` holds, of those that are cards."""
+
+    def placed(runs: Column) -> Column:
+        ends = scanned(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(runs)), runs, lambda gap, hit: (size(gap) + size(hit)).cast("int")), Column.__add__)
+        return F.zip_with(runs, ends, lambda hit, end: F.struct((end - size(hit)).cast("int").alias("start"), end.alias("end"), hit.alias("hit")))
+
+    every = bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda runs: F.when(F.size(runs) > 0, placed(runs)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>")))
+    return F.filter(every, lambda s: ~luhn | is_card(s["hit"]))
+
+
+def spans(text: Column, detector: Detector, size=F.octet_length) -> Column:
+    """Array of (start, end) of a detector's matches."""
+    luhn = detector.kind == "luhn"
+    found = hits(text, F.lit(CARD_RUN if luhn else detector.pattern), F.lit(luhn), size)
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(gaps, i))
-        hit = F.element_at(runs, i)
-        end = start + F.length(hit)
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), hit.alias("hit")))).alias("out"))
+def islands(every: Column) -> Column:
+    """Union of spans; spans that overlap or touch become one. A span begins an island if it starts after
+    the highest end before it, and the island ends at the highest end before the next one."""
 
-    places = F.when(F.size(runs) > 0, F.sequence(F.lit(1), F.size(runs))).otherwise(F.array().cast("array<int>"))
-    all_spans = F.aggregate(places, zero, step)["out"]
-    kept = F.filter(all_spans, lambda s: is_card(s["hit"])) if detector.kind == "luhn" else all_spans
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    def cut(ordered: Column, ends: Column) -> Column:
+        count = F.size(ordered)
+        begins = F.filter(F.sequence(F.lit(1), count), lambda i: (i == 1) | (F.element_at(ordered, i)["start"] > F.element_at(ends, F.greatest(i - 1, F.lit(1)))))
+        last = lambda b, k: F.coalesce(F.try_element_at(b, k + 2), count + 1) - 1
+        whole = lambda b: F.transform(b, lambda i, k: F.struct(F.element_at(ordered, i)["start"].alias("start"), F.element_at(ends, last(b, k)).alias("end")))
+        return bound(begins, whole)
 
+    def run(ordered: Column) -> Column:
+        ends = scanned(F.transform(ordered, lambda s: s["end"]), F.greatest)
+        return F.when(F.size(ordered) > 0, bound(ends, lambda e: cut(ordered, e))).otherwise(F.array().cast(SPANS))
 
-def merged_spans(text: Column, detectors: tuple[Detector, ...]) -> Column:
-    """Union of the detectors' spans; spans that overlap or touch become one."""
-    ordered = F.array_sort(F.flatten(F.array(*[spans(text, d) for d in detectors])))
-    kind = "array<struct<start:int,end:int>>"
+    return bound(F.array_sort(every), run)
 
-    def join(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        # The new end is looked at only where there is a span before it.
-        wide = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), wide).otherwise(F.concat(out, F.array(s)))
 
-    return F.aggregate(ordered, F.array().cast(kind), join)
+def merged_spans(text: Column, detectors: tuple[Detector, ...], size=F.length) -> Column:
+    """Union of the detectors' spans, in characters or by ``size``."""
+    return islands(F.flatten(F.array(*[spans(text, d, size) for d in detectors])))
 
 
 def byte_spans(text: Column, detector: Detector) -> Column:
     """``spans`` in bytes of UTF-8."""
-    at = lambda place: F.octet_length(F.substring(text, F.lit(1), place))
-    return F.transform(spans(text, detector), lambda s: F.struct(at(s["start"]).alias("start"), at(s["end"]).alias("end")))
+    return spans(text, detector)
