@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lustrate.sources.extract import canonical, write_csv
 
-UNIT = "unit_index long, unit_kind string, field string, pointer string, row_index long, rewritable boolean, text string"
+UNIT = "unit_index long, unit_kind string, place string, field string, pointer string, row_index long, rewritable boolean, text string"
 KEYS = ["artifact_id", "source_locator_hash", "record_index"]
 
 
@@ -47,15 +47,18 @@ def replaced(value, texts):
     return value
 
 
-def units_of(kind: str, record: str) -> list[tuple]:
+def units_of(kind: str, record: str, index: int = 0, artifact_type: str = "NDJSON") -> list[tuple]:
+    """The units of a record; ``place`` is where a unit stands in its file, for locators."""
     if kind == "text":
-        return [(0, "text", None, None, None, True, record)]
+        return [(0, "text", "text", None, None, None, True, record)]
     if kind == "csv":
         table = json.loads(record)
-        cells = [("csv_header", None, table["headers"])] + [("csv_cell", r, row) for r, row in enumerate(table["records"])]
-        flat = [(k, table["headers"][c], r, text) for k, r, row in cells for c, text in enumerate(row)]
-        return [(i, k, name, None, r, True, text) for i, (k, name, r, text) in enumerate(flat)]
-    return [(i, "json_key" if is_key else "json_leaf", None, p, None, not is_key, text) for i, (p, is_key, text) in enumerate(json_units(json.loads(record)))]
+        cells = [("csv_header", None, "csv:header", table["headers"])] + [("csv_cell", r, f"csv:r{r}", row) for r, row in enumerate(table["records"])]
+        flat = [(k, f"{place}:c{c}", table["headers"][c], r, text) for k, r, place, row in cells for c, text in enumerate(row)]
+        return [(i, k, place, name, None, r, True, text) for i, (k, place, name, r, text) in enumerate(flat)]
+    base = "json" if artifact_type == "JSON" else f"ndjson:r{index}"
+    leaves = enumerate(json_units(json.loads(record)))
+    return [(i, "json_key" if is_key else "json_leaf", f"{base}:key" if is_key else base, None, p, None, not is_key, text) for i, (p, is_key, text) in leaves]
 
 
 def rebuilt(kind: str, record: str, texts: list[str], delimiter: str) -> str:
@@ -75,10 +78,10 @@ def scan_units(records: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(a, loc, i, *unit) for a, loc, i, kind, record in zip(*(batch[c] for c in [*KEYS, "kind", "record"])) for unit in units_of(kind, record)]
+            rows = [(a, loc, i, *unit) for a, loc, i, kind, record, t in zip(*(batch[c] for c in [*KEYS, "kind", "record", "artifact_type"])) for unit in units_of(kind, record, i, t)]
             yield pd.DataFrame(rows, columns=names).astype({"row_index": "Int64"})
 
-    return records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record").mapInPandas(run, schema)
+    return records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record", "artifact_type").mapInPandas(run, schema)
 
 
 def rebuild_records(records: DataFrame, units: DataFrame) -> DataFrame:

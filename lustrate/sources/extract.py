@@ -13,7 +13,6 @@ import email.policy
 import io
 import json
 import re
-import time
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -24,8 +23,11 @@ from pyspark.sql import DataFrame
 
 from lustrate.functions.digests import blake3
 from lustrate.plans.policy import Limits
+from lustrate.sources.deadline import Timed, TimedOut
 
 SCHEMA = "artifact_id string, source_locator_hash string, artifact_type string, record_index long, kind string, record string, reason string, coverage string"
+#: Letters of all records of a file: a letter takes four bytes at most, and a row holds less than 2 GB.
+ROW_LETTERS = 480_000_000
 SURFACES = ("content_text", "structured_fields", "metadata", "embedded_objects", "attachments")
 
 
@@ -308,27 +310,30 @@ def extract_records(artifacts: DataFrame, limits: Limits = Limits(), method: str
         extractor = Extractor(limits, method)
         # A cell may be as large as its file.
         csv.field_size_limit(max(limits.max_bytes_per_artifact, limits.max_expanded_bytes_per_archive, 1 << 17))
-        for batch in batches:
-            rows = []
-            for a, loc, kind, size, data in zip(*(batch[c] for c in ("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content"))):
-                reason, records, covered = None, [], None
-                try:
-                    # What is staged for a file is its content, so its size bounds the work folder's use.
-                    if size > min(limits.max_bytes_per_artifact, limits.max_workdir_bytes):
-                        raise Refused("LIMIT_EXCEEDED")
-                    if kind not in COVERAGE:
-                        raise Refused("UNSUPPORTED_FORMAT")
-                    began = time.monotonic()
-                    records, covered = extractor.extract(kind, bytes(data))
-                    if (time.monotonic() - began) * 1000 > limits.max_processing_ms:
-                        raise Refused("LIMIT_EXCEEDED")
-                    if "UNKNOWN" in covered:
-                        raise Refused("UNKNOWN_COVERAGE")
-                except Refused as e:
-                    reason, records = str(e), []
-                except Exception:  # noqa: BLE001  any other fault of one file must not fail the job
-                    reason, records = "INTERNAL_ERROR", []
-                rows += [(a, loc, kind, i, k, text, None, covered) for i, (k, text) in enumerate(records)] or [(a, loc, kind, 0, None, None, reason, covered)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        with Timed(extractor.extract, limits.max_processing_ms / 1000) as extract:
+            for batch in batches:
+                rows = []
+                for a, loc, kind, size, data in zip(*(batch[c] for c in ("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content"))):
+                    reason, records, covered = None, [], None
+                    try:
+                        # What is staged for a file is its content, so its size bounds the work folder's use.
+                        if size > min(limits.max_bytes_per_artifact, limits.max_workdir_bytes):
+                            raise Refused("LIMIT_EXCEEDED")
+                        if kind not in COVERAGE:
+                            raise Refused("UNSUPPORTED_FORMAT")
+                        records, covered = extract(kind, bytes(data))
+                        # What comes of a file is joined to one output, which a row must be able to hold.
+                        if sum(len(text) for _, text in records) > ROW_LETTERS:
+                            raise Refused("LIMIT_EXCEEDED")
+                        if "UNKNOWN" in covered:
+                            raise Refused("UNKNOWN_COVERAGE")
+                    except Refused as e:
+                        reason, records = str(e), []
+                    except TimedOut:
+                        reason, records = "LIMIT_EXCEEDED", []
+                    except Exception:  # noqa: BLE001  any other fault of one file must not fail the job
+                        reason, records = "INTERNAL_ERROR", []
+                    rows += [(a, loc, kind, i, k, text, None, covered) for i, (k, text) in enumerate(records)] or [(a, loc, kind, 0, None, None, reason, covered)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return artifacts.select("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content").mapInPandas(run, SCHEMA)
