@@ -14,7 +14,7 @@ from lustrate.plans.policy import PolicyError, load_limits
 from lustrate.session import local_session
 
 
-def flag(text: str) -> bool:
+def boolean(text: str) -> bool:
     if text not in ("true", "false"):
         raise argparse.ArgumentTypeError("true or false")
     return text == "true"
@@ -35,9 +35,9 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--limits", "--limits-json", dest="limits")
     run.add_argument("--digest", choices=("sha2-256", "blake3"), default="sha2-256")
     run.add_argument("--secret-key", "--secret-key-file", dest="secret_key")
-    run.add_argument("--enable-tokenization", type=flag)
-    run.add_argument("--quarantine-copy", type=flag, nargs="?", const=True, default=False)
-    run.add_argument("--isolate-risky-extractors", type=flag, default=True)
+    run.add_argument("--enable-tokenization", type=boolean)
+    run.add_argument("--quarantine-copy", type=boolean, nargs="?", const=True, default=False)
+    run.add_argument("--isolate-risky-extractors", type=boolean, default=True)
     run.add_argument("--max-workers", type=workers)
     run.add_argument("--strictness", choices=("strict",), default="strict")
     run.add_argument("--workdir")
