@@ -25,6 +25,7 @@ passed over; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -35,20 +36,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, IntegerType, StructField, StructType
 
-from lustrate.llm.bpe import ragged
+from lustrate.llm.bpe import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, ragged
 from lustrate.llm.hashing import arrow_parts
 from lustrate.scratch import Scratch, small, spread
 
 CAPACITY = 2048
 #: The id after each document.
 END = 0
-#: Words and bytes of words that a worker keeps, and bytes of a text that are encoded at a time.
-MEMO, MEMO_BYTES, PORTION = 400_000, 16 << 20, 1 << 20
+#: Words and letters that a worker keeps, and letters of a text that are encoded at a time.
+MEMO, MEMO_LETTERS, PORTION = 400_000, 16 << 20, 1 << 20
+
+
+# The tokenizer's own pattern over lower-case letters of Latin-1, where lower-casing and
+# composing change no letter in another way; other texts are cut at ASCII blanks only.
+WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LATIN_LETTER}]+|[{LATIN_NUMBER}]|[^{LATIN_SPACE}{LATIN_LETTER}{LATIN_NUMBER}]+")
+#: Words that are encoded as one text.
+JOINED = 500
 
 
 class WordEncoder:
-    """Ids of texts, word by word: the tokenizer drops white space and never merges over it, so words
-    between ASCII blanks are encoded by the library once and kept."""
+    """Ids of texts, word by word: the tokenizer drops white space and never merges over it, so each word
+    is encoded by the library once and kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,43 +65,63 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.sizes, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
-
-    def know(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        self.number.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in ids], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.uint32)])
-        self.bytes += sum(map(len, words))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.number: dict[str, int] = {}
+        self.ids, self.sizes, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def words(self, text: str) -> list[str]:
+        if not any(s in text for s in self.special):
+            try:
+                text.encode("latin-1")
+                return WORD.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return re.split("[\t-\r ]+", text)
+
+    def know(self, words: list[str]) -> None:
+        """Single words are encoded many as one text, and told apart by the tokens that end a word."""
+        single = [w for w in words if WORD.fullmatch(w)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(single[i : i + JOINED]) for i in range(0, len(single), JOINED)], add_special_tokens=False)
+        ids = np.array([i for e in joined for i in e.ids], dtype=np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(ends) != len(single):  # a word of several pieces among them: none is told apart
+            single, ids, ends = [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        rest = list(set(words).difference(single))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self.number.update(zip([*single, *rest], range(len(self.sizes), len(self.sizes) + len(words))))
+        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0), np.array([len(x) for x in found], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids, np.array([i for x in found for i in x], dtype=np.uint32)])
+        self.letters += sum(map(len, words))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with ``END`` after them."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         held, size = [], 0
 
         def flush() -> None:
             nonlocal held, size
-            if len(self.number) > MEMO or self.bytes > MEMO_BYTES:
+            if len(self.number) > MEMO or self.letters > MEMO_LETTERS:
                 self.forget()
             if fresh := list(set().union(*(w for _, w in held)).difference(self.number)):
                 self.know(fresh)
             starts, get = np.cumsum(self.sizes) - self.sizes, self.number.__getitem__
             for i, words in held:
-                at = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
+                at = np.array(list(map(get, words)), dtype=np.int64)
                 out[i].append(ragged(self.ids, starts[at], self.sizes[at]))
             held, size = [], 0
 
         for i, text in enumerate(texts):
             at = 0
             while at < len(text):
-                end = text.find(b" ", at + PORTION) if len(text) - at > PORTION else -1
+                end = text.find(" ", at + PORTION) if len(text) - at > PORTION else -1
                 end = len(text) if end < 0 else end
-                held.append((i, text[at:end].split()))
+                held.append((i, self.words(text[at:end])))
                 size += end - at
                 at = end
                 if size > PORTION:
@@ -118,7 +146,7 @@ def pieces_of(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY) -> Dat
         encoder, seen, block = word_encoder(vocab_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in arrow_parts(batches):
             owner, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode([(t or "").encode("utf-8") for t in batch.column("text").to_pylist()])):
+            for i, ids in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
                 for at in range(0, len(ids), capacity):
                     owner.append(i)
                     piece.append(at // capacity)

@@ -41,7 +41,7 @@ from lustrate.scratch import Scratch, spread
 #: Most id pairs in the table that is sent to executors (13 bytes each).
 PAIRS = 1 << 18
 #: Words and letters that a worker keeps before it starts anew, and states of its transducer.
-MEMO, MEMO_LETTERS, STATES = 200_000, 8 << 20, 1 << 17
+MEMO, MEMO_LETTERS, STATES = 400_000, 8 << 20, 1 << 17
 #: Bits of a B id in the number of a pair.
 B_BITS = 15
 
@@ -75,11 +75,13 @@ class Transducer:
         self.next[state << 17 | token] = after
         return after
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """(tokens of A, tokens of B) read when each group closes; None if they spell different bytes."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], dict[int, int]] | None:
+        """The groups of two sequences, written, and how often each id pair is linked; None if they spell
+        different bytes. Ids are counted within a large group, its pairs are not listed."""
         if len(self.states) > STATES:
             self.forget()
-        state, i, j, closed, get = 0, 0, 0, [], self.next.get
+        state = i = j = i0 = j0 = 0
+        get, written, links = self.next.get, [], {}
         try:
             for _ in range(len(a) + len(b)):
                 if state & 1 or not state:
@@ -92,37 +94,42 @@ class Transducer:
                 if after is None and (after := self.learn(state, token)) is None:
                     return None
                 state = after
-                if not state:
-                    closed.append((i, j))
+                if state:
+                    continue
+                if i - i0 == 1 and j - j0 == 1:
+                    x, y = a[i0], b[j0]
+                    written.append(f"{x}|{y}")
+                    key = x << B_BITS | y
+                    links[key] = links.get(key, 0) + 1
+                else:
+                    some, other = a[i0:i], b[j0:j]
+                    written.append(f"{','.join(map(str, some))}|{','.join(map(str, other))}")
+                    if len(some) * len(other) > 16:
+                        some, other = Counter(some).items(), Counter(other).items()
+                    else:
+                        some, other = [(x, 1) for x in some], [(y, 1) for y in other]
+                    for x, n in some:
+                        for y, m in other:
+                            key = x << B_BITS | y
+                            links[key] = links.get(key, 0) + n * m
+                i0, j0 = i, j
         except IndexError:  # the side that lags has ended
             return None
-        return None if state else closed
+        return None if state else (written, links)
 
 
-def pair_counts_of(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> dict[int, int]:
-    """How often each id pair is linked: ids are counted within a group, its pairs are not listed."""
-    links: dict[int, int] = {}
-    i = j = 0
-    for i_end, j_end in groups:
-        if i_end - i == 1 and j_end - j == 1:
-            key = a[i] << B_BITS | b[j]
-            links[key] = links.get(key, 0) + 1
-        else:
-            right = Counter(b[j:j_end]).items()
-            for x, n in Counter(a[i:i_end]).items():
-                for y, m in right:
-                    key = x << B_BITS | y
-                    links[key] = links.get(key, 0) + n * m
-        i, j = i_end, j_end
-    return links
+#: Words that are encoded as one text.
+JOINED = 500
 
 
-def written_groups(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> str:
-    parts, i, j = [], 0, 0
-    for i_end, j_end in groups:
-        parts.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
-        i, j = i_end, j_end
-    return ";".join(parts)
+def parted(ids: list[int], sizes: np.ndarray, ends: np.ndarray) -> list[list[int]] | None:
+    """``ids`` of a text cut where its words end (in bytes), or None if a token goes over an end."""
+    every = np.array(ids, dtype=np.int64)
+    at = np.cumsum(sizes[every])
+    cuts = np.searchsorted(at, ends)
+    if not len(at) or cuts[-1] >= len(at) or (at[cuts] != ends).any():
+        return None
+    return [ids[x:y] for x, y in zip([0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist())]
 
 
 class Aligner:
@@ -146,6 +153,7 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for _, p in pieces):
             raise ValueError("a piece of B spans words")
         self.transducer = Transducer(a_bytes, b_bytes)
+        self.a_sizes, self.b_sizes = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (a_bytes, b_bytes))
         self.forget()
 
     def forget(self) -> None:
@@ -155,17 +163,35 @@ class Aligner:
         self.keys, self.times, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.letters = 0
 
+    def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of words, each with the space before it (B adds that space itself). Words without white
+        space at their ends are encoded many as one text: in it, too, no token goes over a space."""
+        out: tuple[list, list] = ([], [])
+        for low in range(0, len(words), JOINED):
+            some = words[low : low + JOINED]
+            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in some])
+            text, parts = " ".join(some), None
+            if not any(w[:1].isspace() or w[-1:].isspace() or "▁" in w for w in some):
+                a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+                parts = parted(a, self.a_sizes, ends), parted(b, self.b_sizes, ends)
+            if parts is None or None in parts:
+                parts = [e.ids for e in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)], self.b.encode(some, num_threads=1)
+            for x, y in zip(out, parts):
+                x += y
+        return out
+
     def know(self, words: list[str]) -> None:
-        """Aligns words, each with the space before it (B adds that space itself)."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b_ids = self.b.encode(words, num_threads=1)
-        counts, keys, times, sizes = [], [], [], []
+        """Aligns words; those with white space or U+2581 come last, so that they don't keep others from
+        being encoded together."""
+        words = sorted(words, key=lambda w: w[:1].isspace() or w[-1:].isspace() or "▁" in w)
+        a_ids, b_ids = self.encoded(words)
+        counts, keys, times, sizes, align = [], [], [], [], self.transducer.align
         for word, a, b in zip(words, a_ids, b_ids):
-            groups = self.transducer.groups(a, b)
-            links = pair_counts_of(groups, a, b) if groups else {}
+            found = align(a, b)
+            written, links = found or ([], {})
             self.number[word] = len(self.written)
-            self.written.append(written_groups(groups, a, b) if groups else None)
-            counts.append((len(a), len(b), len(groups or ())))
+            self.written.append(";".join(written) if written else None)
+            counts.append((len(a), len(b), len(written)))
             keys += links
             times += links.values()
             sizes.append(len(links))
