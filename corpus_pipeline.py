@@ -25,14 +25,18 @@ VERDICT_BYTES = 16 << 20
 def pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids`` (left_semi) or not (left_anti)."""
     held = Scratch(docs.sparkSession, "verdict").save(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    return docs.join(small(held, 16, VERDICT_BYTES), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    # A row travels as one value, so that its columns clash with nothing.
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    return whole.join(small(held, 16, VERDICT_BYTES), F.col("_row.doc_id").eqNullSafe(F.col("_id")), how).select("_row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
     vocab = language_id.default_vocabulary()
-    judged = language_id.predict(docs, vocab, *language_id.learn(docs, vocab), keep_text=True)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    # The verdict travels beside the row, which may have columns of its names.
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    judged = language_id.predict(whole, vocab, *language_id.learn(docs, vocab), keep_text=True)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
