@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lustrate.llm.sampling import sampled
 from lustrate.scratch import Scratch, spread
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -133,8 +134,8 @@ def fit(labelled: DataFrame, vocab_path: str, per_language: int = PER_LANGUAGE)
     vocab = pieces(vocab_path)
     if not languages:
         return [], np.zeros((len(vocab.names), 0))
-    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1e6 * min(1.0, per_language / n))))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rates[F.col("lang")])
+    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    sample = labelled.where(sampled("doc_id", rates[F.col("lang")]))
 
     def count(batches):
         for batch in batches:

@@ -23,9 +23,9 @@
 
 Results for odd input: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; very long texts are hashed in buffers, a text at a time; rows with one doc_id
-count as one document (of its different texts the smallest set decides links); a row with a null id is compared
-like others when a copy has an id, and else stays alone with a null component; repeated rows fall
-into one class; an empty table gives no rows.
+count as one document, which is linked with whatever any of its texts is linked with; a row with a null id is
+compared like others when a copy has an id, and else stays alone with a null component; repeated rows fall
+into one class; other columns are passed over; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,16 +58,16 @@ def lists_of(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), key1 and key2 (of the whole set), sketch of every row."""
+    """doc_id, hash (of the text), n (set size), key1 and key2 (of the whole set), sketch of every row."""
 
     def run(batches):
         for batch in arrow_parts(batches):
             sets = shingle_sets(encoded(batch.column("text")), width)
             keys = [pa.array([int(mix(s + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()) for c in (1, 2)]
             sketch = lists_of([np.sort(s[:SKETCH].view(np.int64)) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *keys, sketch], ["doc_id", "n", "key1", "key2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, sketch], ["doc_id", "hash", "n", "key1", "key2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key1 long, key2 long, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, n long, key1 long, key2 long, sketch array<long>")
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -111,19 +111,28 @@ def likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int, spread: float
     return joined.where(sizes).withColumn("u", union).where(shared >= seen * (at - leeway)).select("a", "b")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, text) of the documents in ``ids`` (a saved table of node and others, which are kept)."""
-    held = docs.join(small(ids, 40, NEEDED_BYTES), F.col("doc_id") == F.col("node"))
+def texts_of(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``ids`` (a saved table of node and others, which are kept); ``reps``
+    (a saved table of node, doc_id and hash) tells which document and which of its texts stands for each."""
+    asked = small_join(ids, reps)
+    held = docs.withColumn("_hash", F.xxhash64("text")).join(asked.withColumnsRenamed({"doc_id": "_id", "hash": "_of"}), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")))
     return held.groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, width: int, num: int, den: int) -> DataFrame:
+def small_join(ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """``ids`` with their document and hash, to be broadcast if they are few."""
+    few = ids.count() * 56 <= NEEDED_BYTES
+    joined = reps.join(F.broadcast(ids) if few else ids, "node")
+    return F.broadcast(joined) if few else joined
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, label: str, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose full shingle sets have a Jaccard similarity of num / den or more.
 
     Pairs are grouped by their second text, at most about ``GROUP`` together, so a text with many
     partners is sent once for each group and its set is made once; the partners stream past it."""
     needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-needed")
-    texts = scratch.save(texts_of(docs, needed), f"{label}-texts")
+    texts = scratch.save(texts_of(docs, needed, reps), f"{label}-texts")
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
     dealt = scratch.save(dealt, f"{label}-dealt")
@@ -149,7 +158,7 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, wi
     return scratch.save(both.mapInArrow(compare, "a long, b long"), label)
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def whole_sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(node, n, value): all shingles of the texts of ``nodes`` (node, n; a saved table)."""
 
     def run(batches):
@@ -157,7 +166,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             sets = lists_of(shingle_sets(encoded(batch.column("text")), width))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), sets], ["node", "n", "values"])
 
-    return texts_of(docs, nodes).select("node", "n", "text").mapInArrow(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
+    return texts_of(docs, nodes, reps).select("node", "n", "text").mapInArrow(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
 
 
 def between(entries: DataFrame, comps: DataFrame) -> DataFrame:
@@ -192,9 +201,13 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     scratch = Scratch(spark, "near")
     rows = scratch.save(sketches(docs, width), "rows")
     keys = ["key1", "key2", "n"]
-    classes = scratch.save(rows.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = rows.where("n > 0").join(classes, [*keys]).where("doc_id = node")
-    nodes = scratch.save(nodes.groupBy("node").agg(F.min(F.struct(*keys, "sketch")).alias("first")).select("node", "first.n", "first.sketch"), "nodes")
+    # A class is a node of its own; one of its documents, and one of that document's texts, stand for it.
+    stands = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("first")
+    classes = rows.where("n > 0").groupBy(*keys).agg(stands).where("first IS NOT NULL").select(*keys, "first.doc_id", "first.hash")
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("node", "doc_id", "hash")
+    nodes = rows.where("n > 0").join(classes, [*keys, "doc_id", "hash"])
+    nodes = scratch.save(nodes.groupBy("node").agg(F.min(F.struct("n", "sketch")).alias("first")).select("node", "first.n", "first.sketch"), "nodes")
 
     entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     frequent = entries.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
@@ -209,12 +222,12 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     hubs = kept.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     first = kept.join(hubs, "value").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = scratch.save(likely(first, nodes, num, den, spread), "first")
-    links = verified(first, docs, scratch, "links", width, num, den)
+    links = verified(first, docs, reps, scratch, "links", width, num, den)
     comps = components(links, scratch, "comps")
 
     open_nodes = nodes.select("node", "n") if exact else between(kept, comps).groupBy("node").agg(F.first("n").alias("n"))
     open_nodes = scratch.save(open_nodes, "open")
-    full = whole_sets(docs, open_nodes, width)
+    full = whole_sets(docs, open_nodes, reps, width)
     frequent = full.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
     shared = full.join(frequent, "value")
     ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("lists", "value")) + F.col("n") - F.count("*").over(of_node))
@@ -231,7 +244,7 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
         if not pairs.head(1):
             break
         tried = scratch.save(tried.unionByName(pairs), f"tried{turn}")
-        comps = grown(comps, verified(pairs, docs, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
+        comps = grown(comps, verified(pairs, docs, reps, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
 
     rest = scratch.save(between(prefix, comps), "rest-lists")
     # A long list falls into blocks by a hash; each pair of blocks meets in a place of its own, so the
@@ -246,11 +259,20 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     pairs = side("a").join(side("b"), ["value", "low", "high"]).where((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den, spread), "rest")
     if pairs.head(1):
-        comps = grown(comps, verified(pairs, docs, scratch, "more", width, num, den), scratch, "all")
-
-    of_class = classes.join(comps, "node", "left").select(*keys, F.coalesce("comp", "node").alias("comp"))
-    out = rows.select("doc_id", *keys).join(scratch.save(of_class, "of_class"), keys, "left")
-    component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
+        comps = grown(comps, verified(pairs, docs, reps, scratch, "more", width, num, den), scratch, "all")
+
+    # Rows that share an id are one document, so the classes that they fall into are linked by it.
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("k"), F.max(F.struct(*keys)).alias("l")).where("doc_id IS NOT NULL AND k <> l")
+    several = scratch.save(several.select("doc_id"), "several")
+    if several.head(1):
+        held = rows.select("doc_id", *keys).join(several, "doc_id").join(classes.select(*keys, "node"), keys).select("doc_id", "node").distinct()
+        of_doc = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+        comps = grown(comps, held.join(of_doc, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), scratch, "shared")
+    of_class = scratch.save(classes.join(comps, "node", "left").select(*keys, "doc_id", F.coalesce("comp", "node").alias("comp")), "of_class")
+    smallest = of_class.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    of_class = scratch.save(of_class.join(smallest, "comp").select(*keys, "component"), "components")
+    out = rows.select("doc_id", *keys).join(of_class, keys, "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     scratch.drop("nodes", "entries", "open", "prefix", "first", "rest", "rest-lists", *[f"{x}{i}" for i in range(ROUNDS) for x in ("hubs", "tried")])
     scratch.drop(*[f"{x}{y}" for x in ("links", "more", *(f"found{i}" for i in range(ROUNDS))) for y in ("", "-needed", "-texts", "-dealt")])
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lustrate.llm.hashing import word_hashes
+from lustrate.llm.sampling import sampled
 from lustrate.scratch import Scratch, small
 
 #: Labelled rows in the fit at most; a document is kept from this posterior on.
@@ -115,9 +116,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
     rows = rows.join(marks.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
     labelled = rows.where("quality IS NOT NULL")
-    total = labelled.count()
-    rate = int(1e6 * min(1.0, sample / max(1, total)))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).select("x", F.round("quality").alias("y")).toPandas()
+    share = min(1.0, sample / max(1, labelled.count()))
+    chosen = labelled.where(sampled("doc_id", share)).select("x", F.round("quality").alias("y")).toPandas()
     x = np.stack(chosen["x"]) if len(chosen) else np.zeros((0, len(FEATURES)))
     base, weights = logistic(x, chosen["y"].to_numpy(dtype=float))
 
@@ -133,14 +133,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
     whole = hosts.agg(F.sum("good"), F.sum("n")).first()
     prior = (whole[0] + 0.5) / (whole[1] + 1) if whole[1] else 0.5
     weight = strength(hosts, F.lit(prior))
-    hosts = hosts.select("host", ((F.col("good") + weight * prior) / (F.col("n") + weight)).alias("host_posterior"))
-    paths = paths.join(hosts, "host")
-    weight = strength(paths, F.col("host_posterior"))
-    paths = paths.select("host", "path", "host_posterior", ((F.col("good") + weight * F.col("host_posterior")) / (F.col("n") + weight)).alias("path_posterior"))
+    of_host = lambda own, n: (F.col("host_good") - own + weight * prior) / (F.col("host_n") - n + weight)
+    paths = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host")
+    path_weight = strength(paths.withColumn("mean", of_host(F.lit(0.0), 0)), F.col("mean"))
     paths = small(scratch.save(paths, "posteriors"), 256, PATHS_BYTES)
 
-    out = rows.join(paths, ["host", "path"])
-    odds = F.col("line") + logit(F.col("path_posterior")) - logit(F.lit(float(prior)))
+    def of_path(own, n: int, host):
+        return (F.col("good") - own + path_weight * host) / (F.col("n") - n + path_weight)
+
+    none, own = F.lit(0.0), F.coalesce("quality", "evidence")
+    out = rows.join(paths, ["host", "path"]).withColumn("host_posterior", of_host(none, 0)).withColumn("path_posterior", of_path(none, 0, F.col("host_posterior")))
+    # A document's line holds its own value already, so its score takes what the other documents of its
+    # host and path say.
+    out = out.withColumn("others", of_path(own, 1, of_host(own, 1)))
+    odds = F.col("line") + logit(F.col("others")) - logit(F.lit(float(prior)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
     return out.select("doc_id", "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep).alias("kept"))
 

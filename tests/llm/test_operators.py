@@ -571,6 +571,41 @@ def test_near_nulls_and_empty(spark):
     assert near_dedup.near_groups(rows.where("false")).count() == 0
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Each text of a document links it, and the document links its texts."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("w", 40)), (2, words("w", 40) + " x"), (2, words("v", 60)), (3, words("v", 60) + " y"), (4, words("u", 30)), (5, words("u", 30)), (5, words("t", 9)), (6, words("t", 9)), (7, "alone here"), (5, words("w", 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, exact=exact).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+
+
+def test_samples_of_tiny_shares(spark):
+    """At the share of 3,000 documents among 1e11, about as many keys are taken as are due, never none."""
+    from lustrate.llm.sampling import sampled
+
+    keys = spark.range(4_000_000)
+    for share in (3e-6, 1e-4, 0.5):
+        assert 0.3 * share < keys.where(sampled("id", share)).count() / 4e6 < 3 * share + 1e-9
+    assert keys.where(sampled("id", 1.0)).count() == 4_000_000 and keys.where(sampled("id", 0.0)).count() == 0
+    # Shares far under one in a million are told apart.
+    hashes = spark.range(1).select(*[(F.lit(2**53 * s) > 0).alias(f"s{i}") for i, s in enumerate((3e-8, 2e-13))]).first()
+    assert all(hashes) and len({2.0**53 * s for s in (3e-8, 2e-13, 1e-15)}) == 3
+
+
+def test_quality_counts_a_document_once(spark):
+    """On a site of one document the score takes the prior, not the document again."""
+    rows = [(i, f"text of words {i}", f"big/{i % 2}", "en") for i in range(200)] + [(200, "text of words", "lonely/p", "en"), (201, "text of words", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)] + [(200, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(df, marks).collect()}
+    unmarked = {r.doc_id: r for r in quality.score_quality(df, marks.where("doc_id < 200")).collect()}
+    # Its label moves the site that others see, but its own score only through the prior of all.
+    assert got[200].path_posterior > unmarked[200].path_posterior
+    assert abs(got[200].score - got[201].score) < 0.02
+
+
 def test_shingle_hashes_of_long_texts():
     text = (b"word%d " * 3) % (1, 2, 3) * 150_000
     (cells,) = shingle_sets([text], 4)
