@@ -21,7 +21,7 @@ from lustrate.operators import class_table, detect, evidence, ordered, rewrite,
 from lustrate.plans import events
 from lustrate.plans.policy import Limits, Policy, PolicyError, load_limits, load_policy
 from lustrate.scratch import Scratch
-from lustrate.sources import extract, inventory, ledger, sinks
+from lustrate.sources import extract, inventory, ledger, listing, sinks
 
 OK, FATAL, QUARANTINED, USAGE = 0, 1, 2, 3
 IDS = ["artifact_id", "source_locator_hash"]
@@ -163,7 +163,7 @@ def run(
         return USAGE
     pack = Path(output_dir)
     marker = pack / ".run"
-    if pack.exists() and sinks.files_in(pack) and not marker.exists():
+    if pack.exists() and not marker.exists() and any(p.is_file() for p in pack.rglob("*")):  # the first one decides
         return USAGE  # a finished pack, or something else's folder
     scratch = Scratch(spark, "run")
     try:
@@ -278,20 +278,16 @@ def verify(spark: SparkSession, pack_dir: str, policy_dir: str) -> int:
         print(f"fatal: {e}")
         return FATAL
 
-    root = (pack / "sanitized").resolve()
-    unsafe = any(os.path.islink(os.path.join(d, n)) for d, ds, fs in os.walk(root) for n in ds + fs)
+    root, scratch = (pack / "sanitized").resolve(), Scratch(spark, "verify")
     expected = rows.where("state = 'VERIFIED'").withColumn("path", inventory.output_path(F.col("source_locator_hash"), F.col("artifact_id"), F.col("artifact_type")))
-    if not unsafe and sinks.files_in(root):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
-        empty = spark.createDataFrame([(p, 0, bytearray()) for p in inventory.empty_files(spark, f"file://{root}")], "path string, length long, content binary")
-        files = files.select("path", "length", "content").unionByName(empty)
-        files = files.withColumn("path", F.element_at(F.split("path", "/sanitized/"), -1))
-    else:
-        files = spark.createDataFrame([], "path string, length long, content binary")
+    unsafe, there = root.is_symlink() or (pack / "sanitized").is_symlink(), listing.LISTED
+    found = listing.files_below(spark, str(root), scratch) if root.is_dir() and not unsafe else spark.createDataFrame([], there)
+    unsafe = unsafe or bool(found.where("kind <> 'file'").head(1))
+    files = listing.read_files(found.where("kind = 'file'"), method)
+    files = files.select(F.col("rel").alias("path"), F.col("size_bytes").alias("length"), F.col("artifact_id").alias("found_id"), F.coalesce("content", F.lit(b"")).alias("content"))
     both = expected.join(files, "path", "full_outer")
-    content = both.select("path", F.col("artifact_id").isNotNull().alias("wanted"), "artifact_id", "source_locator_hash", "output_id", inventory.verification_type(F.col("artifact_type")).alias("artifact_type"), F.col("length").alias("size_bytes"), "content")
-    wrong = digest(F.col("content"), method) != F.col("output_id")
-    scratch = Scratch(spark, "verify")
+    content = both.select("path", F.col("artifact_id").isNotNull().alias("wanted"), "artifact_id", "source_locator_hash", "output_id", inventory.verification_type(F.col("artifact_type")).alias("artifact_type"), F.col("length").alias("size_bytes"), "found_id", "content")
+    wrong = F.col("found_id") != F.col("output_id")
     checked = scratch.save(content.withColumn("stage", evidence.fail_stage(~F.col("wanted") | F.col("content").isNull(), wrong, F.lit(False))), "checked")
     records = scratch.save(extract.extract_records(checked.where("stage IS NULL")), "records")
     found = units.scan_units(records)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import stat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lustrate.functions.digests import digest
+from lustrate.scratch import Scratch
+from lustrate.sources import listing
 
 # Types by extension, the extension of the sanitised output, and the types that
 # containers are re-verified as.
@@ -49,19 +50,6 @@ def output_path(locator_hash: Column, artifact_id: Column, kind: Column) -> Colu
     return F.concat(locator_hash, F.lit("__"), artifact_id, F.lit("."), output_extension(kind))
 
 
-def check_tree(root: str) -> None:
-    """Symbolic links and special files are fatal: Hadoop's listing would follow or skip them."""
-    for folder, folders, files in os.walk(root):
-        for name in folders + files:
-            mode = os.lstat(os.path.join(folder, name)).st_mode
-            if not (stat.S_ISREG(mode) or stat.S_ISDIR(mode)):
-                raise UnsafeInput(f"not a plain file or folder: {name}")
-
-
-#: Bytes of a file that a row may hold; larger files are refused unread.
-READABLE = 2_000_000_000
-
-
 def empty_files(spark: SparkSession, root: str) -> list[str]:
     """Files without bytes, which Spark's file scans leave out."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -81,13 +69,25 @@ def relative(path: Column, root: str) -> Column:
 
 
 def read_corpus(spark: SparkSession, root: str, method: str = "sha2-256") -> DataFrame:
-    """artifact_id, source_locator_hash, rel, size_bytes, artifact_type, content of every file."""
-    if "://" not in root:
-        root = os.path.abspath(root)
-        check_tree(root)
+    """artifact_id, source_locator_hash, rel, size_bytes, artifact_type, content of every file.
+
+    Mounted folders are listed and read by tasks; symbolic links and special files are fatal. Other stores
+    are listed by Spark, which leaves out empty files and can't hold those of more than 2 GB in a row."""
+    if "://" in root and not root.startswith("file:"):
+        return read_store(spark, root, method)
+    scratch = Scratch(spark, "listing")
+    found = listing.files_below(spark, root.removeprefix("file://"), scratch)
+    if odd := found.where("kind <> 'file'").head(1):
+        raise UnsafeInput(f"a {odd[0]['kind']} is not a plain file or folder")
+    files = listing.read_files(found, method)
+    return files.select("artifact_id", digest(F.col("rel"), method).alias("source_locator_hash"), "rel", "size_bytes", artifact_type(F.col("rel")).alias("artifact_type"), "content")
+
+
+def read_store(spark: SparkSession, root: str, method: str) -> DataFrame:
+    """``read_corpus`` by Spark's own reader of files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     # Spark can't hold a larger file in a row; its id comes of its place and size, and it has no content.
-    files, large = found.where(F.col("length") <= READABLE), found.where(F.col("length") > READABLE).select("path", "length")
+    files, large = found.where(F.col("length") <= listing.READABLE), found.where(F.col("length") > listing.READABLE).select("path", "length")
     rel = relative(F.col("path"), root)
     large = large.select(
         digest(F.concat_ws("\n", F.lit("unread"), rel, F.col("length").cast("string")), method).alias("artifact_id"), digest(rel, method).alias("source_locator_hash"), rel.alias("rel"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -51,7 +50,3 @@ def write_lines(rows: DataFrame, order: list[str], path: Path) -> None:
 
 def write_json(path: Path, value: dict) -> None:
     write_whole(path, (json.dumps(value, indent=2, sort_keys=True) + "\n").encode())
-
-
-def files_in(folder: Path) -> Iterable[str]:
-    return sorted(p.relative_to(folder).as_posix() for p in folder.rglob("*") if p.is_file()) if folder.exists() else []
