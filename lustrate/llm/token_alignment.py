@@ -4,8 +4,9 @@ A text, with a space before it, is encoded by A (byte-level BPE) and by B (piece
 Reading both sequences, the transducer's state is the side that leads and its bytes that the other
 side has not matched yet; the side that lags reads its next token. Transitions are memoised by state
 and token. Where nothing is left over, a group of tokens closes. Neither tokenizer merges across a
-single space between two other characters, so groups close there too, and each distinct word between
-such spaces goes through the transducer once for each fill of a worker's memo.
+single space between two other characters, nor from a letter to a punctuation mark (A's words end there, and
+no piece of B holds such a pair, which is looked up in its vocabulary), so groups close there too, and each
+distinct stretch between such places goes through the transducer once for each fill of a worker's memo.
 
 Counts of linked id pairs are taken over all documents: Spark explodes each document's distinct pairs
 and counts them, combined within tasks. The most frequent pairs (a bounded table of at most ``PAIRS``
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lustrate.llm.bpe import PIECE, SINGLE_SPACE, byte_letters, in_pieces, ragged
+from lustrate.llm.bpe import PIECE, byte_letters, in_pieces, ragged
 from lustrate.llm.hashing import arrow_parts
 from lustrate.scratch import Scratch, spread
 
@@ -120,6 +122,15 @@ class Transducer:
 
 #: Words that are encoded as one text.
 JOINED = 500
+#: Letters after which, and marks before which, a text may be cut (an apostrophe may begin a word of A's),
+#: and the letter that stands before such a mark when it is encoded.
+LETTERS, MARKS, LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]", "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~", "a"
+
+
+def odd(word: str) -> bool:
+    """Whether a word can't be encoded together with others."""
+    word = word.removeprefix(" ")
+    return word[:1].isspace() or word[-1:].isspace() or "▁" in word
 
 
 def parted(ids: list[int], sizes: np.ndarray, ends: np.ndarray) -> list[list[int]] | None:
@@ -152,6 +163,11 @@ class Aligner:
         # Words are aligned one by one only because no piece goes on over a space.
         if any("▁" in p.lstrip("▁") for _, p in pieces):
             raise ValueError("a piece of B spans words")
+        pairs = {x[k : k + 2] for _, x in pieces for k in range(len(x) - 1)}
+        marks = "".join(m for m in MARKS if not any(x[1] == m and re.fullmatch(LETTERS, x[0]) for x in pairs))
+        self.cut = re.compile(rf"(?<=\S)(?= \S)|(?<={LETTERS})(?=[{re.escape(marks)}])" if marks else r"(?<=\S)(?= \S)")
+        if any((self.a.encode(" " + LETTER + m).ids[1:] == []) or self.b.encode(LETTER + m)[1:] == [] for m in marks):
+            raise ValueError("a mark does not stand by itself")
         self.transducer = Transducer(a_bytes, b_bytes)
         self.a_sizes, self.b_sizes = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (a_bytes, b_bytes))
         self.forget()
@@ -164,14 +180,14 @@ class Aligner:
         self.letters = 0
 
     def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of words, each with the space before it (B adds that space itself). Words without white
+        """Ids of words, each with a space before it (B adds that space itself). Words without white
         space at their ends are encoded many as one text: in it, too, no token goes over a space."""
         out: tuple[list, list] = ([], [])
         for low in range(0, len(words), JOINED):
             some = words[low : low + JOINED]
             ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in some])
             text, parts = " ".join(some), None
-            if not any(w[:1].isspace() or w[-1:].isspace() or "▁" in w for w in some):
+            if not any(odd(w) for w in some):
                 a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
                 parts = parted(a, self.a_sizes, ends), parted(b, self.b_sizes, ends)
             if parts is None or None in parts:
@@ -180,13 +196,17 @@ class Aligner:
                 x += y
         return out
 
-    def know(self, words: list[str]) -> None:
-        """Aligns words; those with white space or U+2581 come last, so that they don't keep others from
-        being encoded together."""
-        words = sorted(words, key=lambda w: w[:1].isspace() or w[-1:].isspace() or "▁" in w)
-        a_ids, b_ids = self.encoded(words)
+    def know(self, fresh: list[str]) -> None:
+        """Aligns stretches of text. One that begins with a space is encoded as the word after it, one that
+        begins with a mark behind a letter, whose own tokens are then left out."""
+        # Odd ones come last, so that they don't keep others from being encoded together.
+        fresh = sorted(fresh, key=odd)
+        a_ids, b_ids = self.encoded([x[1:] if x[0] == " " else LETTER + x for x in fresh])
+        for i, x in enumerate(fresh):
+            if x[0] != " ":
+                del a_ids[i][0], b_ids[i][0]
         counts, keys, times, sizes, align = [], [], [], [], self.transducer.align
-        for word, a, b in zip(words, a_ids, b_ids):
+        for word, a, b in zip(fresh, a_ids, b_ids):
             found = align(a, b)
             written, links = found or ([], {})
             self.number[word] = len(self.written)
@@ -199,7 +219,7 @@ class Aligner:
         self.keys = np.concatenate([self.keys, np.array(keys, dtype=np.int32)])
         self.times = np.concatenate([self.times, np.array(times, dtype=np.int64)])
         self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-        self.letters += sum(map(len, words))
+        self.letters += sum(map(len, fresh))
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, keys, times) of each text; the latter two are its
@@ -231,7 +251,7 @@ class Aligner:
         for i, text in enumerate(texts):
             for k, piece in enumerate(in_pieces(text)):
                 # A later piece begins with the space before its first word.
-                held.append((i, SINGLE_SPACE.split(piece[k > 0 :])))
+                held.append((i, self.cut.split(piece if k else " " + piece)))
                 size += len(piece)
                 if size > PIECE:
                     flush()

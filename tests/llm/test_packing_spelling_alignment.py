@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, piece string, length string, n lo
 ODD = [
     "", None, " ", " \t\n", "A", "a  b", "  lead", "trail  ", "same text here", "same text here", "naïve café über straße", "日本語 と 中文 😀 emoji👩‍👩‍👧 end",
     "x" * 5000, "ab " * 3000, "a" * 300 + " " * 77 + "b", "it's 12 o'clock\r\n　ok <|endoftext|> <s> </s> <unk> <0x0A> <|startoftext|>z", "has ▁ piece mark", "nul \0 in", "é combining ﬁ",
-    "\x1c odd\x85 space\xa0x", "Ünïcode ÀÉÎ×÷ÿ tail", "1234567890 3.14 -- ...", "�﻿ bom", "İstanbul ΣΑΣ", "it's I'LL 's'd x're!'ve a'b ''s µm ÀÉ×÷ ª²³ ¼ \x85\xa0x", "<|ENDOFTEXT|> 2024 3,14", "—, € 5%",
+    "\x1c odd\x85 space\xa0x", "Ünïcode ÀÉÎ×÷ÿ tail", "1234567890 3.14 -- ...", "�﻿ bom", "İstanbul ΣΑΣ", "it's I'LL 's'd x're!'ve a'b ''s µm ÀÉ×÷ ª²³ ¼ \x85\xa0x", "<|ENDOFTEXT|> 2024 3,14", "—, € 5%", "End.\nNext, (so) a-b a's! x×, ÷. https://www.a.com/?q=1&b_c=2#d e.g., U.S.A. [x] {y} z~ é. ß; ...a.. !a",
 ]
 
 
