@@ -81,7 +81,8 @@ def scan_units(records: DataFrame) -> DataFrame:
             rows = [(a, loc, i, *unit) for a, loc, i, kind, record, t in zip(*(batch[c] for c in [*KEYS, "kind", "record", "artifact_type"])) for unit in units_of(kind, record, i, t)]
             yield pd.DataFrame(rows, columns=names).astype({"row_index": "Int64"})
 
-    return records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record", "artifact_type").mapInPandas(run, schema)
+    kind = F.col("artifact_type") if "artifact_type" in records.columns else F.lit("NDJSON").alias("artifact_type")
+    return records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record", kind).mapInPandas(run, schema)
 
 
 def rebuild_records(records: DataFrame, units: DataFrame) -> DataFrame:
