@@ -242,13 +242,22 @@ def run(
 
 
 def read_manifest(pack: Path) -> dict:
+    """The manifest of a pack, checked as far as it can be without the pack's tables."""
+    path = pack / "pack_manifest.json"
+    if pack.is_symlink() or path.is_symlink():
+        raise Fatal("the pack or its manifest is a link")
     try:
-        manifest = json.loads((pack / "pack_manifest.json").read_text("utf-8"))
+        manifest = json.loads(path.read_text("utf-8"))
     except (OSError, ValueError) as e:
-        raise Fatal(f"no readable manifest: {e}") from e
-    known = {"tool_version", "run_id", "policy_id", "input_corpus_id", "tokenization_enabled", "quarantine_copy_enabled", "pack_schema_version", "ledger_schema_version", "digest"}
-    if set(manifest) != known or manifest["pack_schema_version"] not in PACKS or manifest["ledger_schema_version"] not in ledger.READERS:
-        raise Fatal("the manifest has other fields or versions")
+        raise Fatal(f"no readable manifest: {type(e).__name__}") from e
+    texts = {"tool_version", "run_id", "policy_id", "input_corpus_id", "pack_schema_version", "ledger_schema_version", "digest"}
+    flags = {"tokenization_enabled", "quarantine_copy_enabled"}
+    if not isinstance(manifest, dict) or set(manifest) != texts | flags:
+        raise Fatal("the manifest has other fields")
+    if not all(isinstance(manifest[k], str) and manifest[k].strip() for k in texts) or not all(isinstance(manifest[k], bool) for k in flags):
+        raise Fatal("a field of the manifest is empty or of another type")
+    if manifest["pack_schema_version"] not in PACKS or manifest["ledger_schema_version"] not in ledger.READERS or manifest["digest"] not in ("sha2-256", "blake3"):
+        raise Fatal("the manifest has other versions")
     return manifest
 
 
@@ -261,6 +270,10 @@ def verify(spark: SparkSession, pack_dir: str, policy_dir: str) -> int:
         policy = load_policy(policy_dir, method)
         if policy.policy_id != manifest["policy_id"]:
             return USAGE
+        if manifest["ledger_schema_version"] != ledger.V1:
+            meta = ledger.read_meta(pack)
+            if any(meta.get(k) != manifest[k] for k in ("run_id", "policy_id", "input_corpus_id", "tool_version")) or meta.get("schema_version") != manifest["ledger_schema_version"]:
+                raise Fatal("the ledger is of another run or version")
         folder = (pack / "evidence").resolve()
         names = ["artifact_id", *evidence.COMPARED]
         held = ledger.read(spark, pack, manifest["ledger_schema_version"])["artifacts"].select(*names)

@@ -154,6 +154,34 @@ def test_versions_of_packs_and_ledgers(spark, tmp_path):
     assert read["proof_tokens"].count() == 0 and read["artifacts"].where("coverage_hash IS NULL AND extractor_id IS NULL").count() == 2
     manifest.write_text(json.dumps(original))
     assert engine.verify(spark, str(pack), rules) == engine.FATAL  # the ledger is not of that version
+    (pack / "evidence/ledger").rename(tmp_path / "first")
+    (tmp_path / "new").rename(pack / "evidence/ledger")
+    assert engine.verify(spark, str(pack), rules) == engine.OK
+    meta = pack / "evidence/ledger/meta.json"
+    meta.write_text(meta.read_text().replace(original["run_id"], "another"))
+    assert engine.verify(spark, str(pack), rules) == engine.FATAL
+
+
+def test_lines_are_in_order_and_whole(spark, tmp_path):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.when(F.col("id") % 2 == 0, F.lit("é\n")).alias("v")).repartition(7)
+    from lustrate.sources import sinks
+
+    sinks.write_lines(rows, ["k"], tmp_path / "x" / "lines.ndjson")
+    want = [json.dumps({"k": r["k"]} | ({"v": r["v"]} if r["v"] else {}), ensure_ascii=False, separators=(",", ":")) for r in sorted(rows.collect())]
+    assert (tmp_path / "x" / "lines.ndjson").read_text("utf-8").split("\n") == [*want, ""] and [p.name for p in (tmp_path / "x").iterdir()] == ["lines.ndjson"]
+    sinks.write_lines(rows.where("false"), ["k"], tmp_path / "none.ndjson")
+    assert (tmp_path / "none.ndjson").read_bytes() == b""
+
+
+@pytest.mark.parametrize("change", [{"run_id": " "}, {"policy_id": 3}, {"tokenization_enabled": "no"}, {"extra": 1}, {"digest": "md5"}])
+def test_manifests_that_are_no_manifests(tmp_path, change):
+    good = {"tool_version": "1", "run_id": "r", "policy_id": "p", "input_corpus_id": "c", "tokenization_enabled": False, "quarantine_copy_enabled": False, "digest": "blake3"}
+    good |= {"pack_schema_version": engine.PACK, "ledger_schema_version": engine.LEDGER}
+    (tmp_path / "pack_manifest.json").write_text(json.dumps(good))
+    assert engine.read_manifest(tmp_path) == good
+    (tmp_path / "pack_manifest.json").write_text(json.dumps(good | change))
+    with pytest.raises(engine.Fatal):
+        engine.read_manifest(tmp_path)
 
 
 def slow(seconds):
