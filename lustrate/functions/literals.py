@@ -15,8 +15,8 @@ COUNT = re.compile(r"(?:\*|\+|\?|\{(\d+)(?:,\d*)?\})[?+]?")
 
 
 class Reader:
-    def __init__(self, pattern: str):
-        self.pattern, self.at = pattern, 0
+    def __init__(self, pattern: str, shortest: int):
+        self.pattern, self.at, self.shortest = pattern, 0, shortest
 
     def class_end(self) -> None:
         """Passes over a class in brackets, nested ones included."""
@@ -42,7 +42,7 @@ class Reader:
 
         def offer(some: frozenset[str] | None) -> None:
             nonlocal best
-            if some and len(some) <= MOST and min(map(len, some)) >= SHORTEST and (best is None or min(map(len, some)) > min(map(len, best))):
+            if some and len(some) <= MOST and min(map(len, some)) >= self.shortest and (best is None or min(map(len, some)) > min(map(len, best))):
                 best = some
 
         while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
@@ -79,12 +79,12 @@ class Reader:
         return best
 
 
-def required(pattern: str) -> list[str] | None:
+def required(pattern: str, shortest: int = SHORTEST) -> list[str] | None:
     """Literals of which every match of ``pattern`` contains one, or None."""
     if any("i" in flags.partition("-")[0] for flags in re.findall(r"\(\?([a-zA-Z-]*)[:)]", pattern)):
         return None
     try:
-        found = Reader(pattern).alternatives()
+        found = Reader(pattern, shortest).alternatives()
     except (ValueError, IndexError):
         return None
     return sorted(found) if found else None

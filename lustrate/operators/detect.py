@@ -12,12 +12,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lustrate.functions import literals
 from lustrate.plans.policy import Detector, Policy, PolicyClass
 
 #: A maximal run of digits, blanks and hyphens with 13 digits or more. No quantifier gives back what it
 #: took, and runs are entered at their start only, so a text is read in one pass.
 CARD_RUN = "(?<![0-9 -])[ -]*+[0-9](?:[ -]*+[0-9]){12,}+[ -]*+"
+#: What a text with a card holds; it begins with a digit, so most places of a text are passed over at once.
+CARD_DIGITS = "[0-9](?:[ -]*+[0-9]){12}"
 SPANS = "array<struct<start:int,end:int>>"
+#: Literals of a pattern that are looked for before it, at most.
+LITERALS = 4
 
 
 def bound(value: Column, body) -> Column:
@@ -54,22 +59,36 @@ def is_card(run: Column) -> Column:
     return F.length(digits(run)).between(13, 19) & F.call_function("luhn_check", digits(run))
 
 
+def possible(text: Column, detector: Detector) -> Column:
+    """False for texts that can't hold a match, told by a search that is cheaper than the pattern."""
+    if detector.kind == "luhn":
+        return text.rlike(CARD_DIGITS)
+    needed = literals.required(detector.pattern, 1)
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in needed]) if needed and len(needed) <= LITERALS else F.lit(True)
+
+
+def cards(text: Column) -> Column:
+    runs = F.filter(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), is_card)
+    return F.when(~text.rlike(CARD_DIGITS), F.array().cast("array<string>")).otherwise(runs)
+
+
 def matches(text: Column, detector: Detector) -> Column:
     """All matches of one detector, in order."""
-    if detector.kind == "luhn":
-        return F.filter(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), is_card)
-    return F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
+    return cards(text) if detector.kind == "luhn" else F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
 
 
 def match_count(text: Column, detector: Detector) -> Column:
-    if detector.kind == "luhn":
-        return F.size(matches(text, detector)).cast("long")
-    return F.regexp_count(text, F.lit(detector.pattern)).cast("long")
+    count = F.size(cards(text)) if detector.kind == "luhn" else F.regexp_count(text, F.lit(detector.pattern))
+    return F.when(~possible(text, detector), 0).otherwise(count).cast("long")
+
+
+def has_card(text: Column) -> Column:
+    return text.rlike(CARD_DIGITS) & F.exists(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), is_card)
 
 
 def found(text: Column, detector: Detector) -> Column:
     """Whether anything matches; the cheap form for gates and for the residual check."""
-    return F.exists(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), is_card) if detector.kind == "luhn" else text.rlike(detector.pattern)
+    return has_card(text) if detector.kind == "luhn" else possible(text, detector) & text.rlike(detector.pattern)
 
 
 def class_count(text: Column, policy_class: PolicyClass) -> Column:
