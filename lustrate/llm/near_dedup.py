@@ -204,6 +204,10 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     # A class is a node of its own; one of its documents, and one of that document's texts, stand for it.
     stands = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))).alias("first")
     classes = rows.where("n > 0").groupBy(*keys).agg(stands).where("first IS NOT NULL").select(*keys, "first.doc_id", "first.hash")
+    # Nodes are numbered in the order of their ids: the first text of a group, of which the others are
+    # often copies, is the hub of most of its lists.
+    parts = spark.sparkContext.defaultParallelism
+    classes = classes.repartitionByRange(parts, "doc_id", *keys).sortWithinPartitions("doc_id", *keys)
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = classes.select("node", "doc_id", "hash")
     nodes = rows.where("n > 0").join(classes, [*keys, "doc_id", "hash"])
