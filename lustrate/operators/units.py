@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lustrate.operators import json_native
 from lustrate.sources.extract import canonical, write_csv
 
 UNIT = "unit_index long, unit_kind string, place string, field string, pointer string, row_index long, rewritable boolean, text string"
@@ -73,23 +74,43 @@ def rebuilt(kind: str, record: str, texts: list[str], delimiter: str) -> str:
 
 
 def scan_units(records: DataFrame) -> DataFrame:
+    """Units of ``records`` (best a saved table: it is read once for each way). Texts and plain JSON stay in
+    the JVM; tables and other JSON are walked in Python."""
     schema = f"artifact_id string, source_locator_hash string, record_index long, {UNIT}"
     names = [c.split()[0] for c in schema.split(", ")]
+    kind = F.col("artifact_type") if "artifact_type" in records.columns else F.lit("NDJSON").alias("artifact_type")
+    fine = records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record", kind)
+    none = F.lit(None)
 
     def run(batches):
         for batch in batches:
             rows = [(a, loc, i, *unit) for a, loc, i, kind, record, t in zip(*(batch[c] for c in [*KEYS, "kind", "record", "artifact_type"])) for unit in units_of(kind, record, i, t)]
             yield pd.DataFrame(rows, columns=names).astype({"row_index": "Int64"})
 
-    kind = F.col("artifact_type") if "artifact_type" in records.columns else F.lit("NDJSON").alias("artifact_type")
-    return records.where("reason IS NULL AND kind IS NOT NULL").select(*KEYS, "kind", "record", kind).mapInPandas(run, schema)
+    texts = fine.where("kind = 'text'").select(
+        *KEYS, F.lit(0).cast("long").alias("unit_index"), F.lit("text").alias("unit_kind"), F.lit("text").alias("place"), none.cast("string").alias("field"), none.cast("string").alias("pointer"),
+        none.cast("long").alias("row_index"), F.lit(True).alias("rewritable"), F.col("record").alias("text"),
+    )
+    plain = json_native.plain(F.col("record"))
+    base = F.when(F.col("artifact_type") == "JSON", F.lit("json")).otherwise(F.concat(F.lit("ndjson:r"), F.col("record_index").cast("string")))
+    parsed = json_native.native_units(fine.where((F.col("kind") == "json") & plain), [*KEYS, "artifact_type"]).select(
+        *KEYS, "unit_index", F.when(F.col("is_key"), "json_key").otherwise("json_leaf").alias("unit_kind"), F.when(F.col("is_key"), F.concat(base, F.lit(":key"))).otherwise(base).alias("place"),
+        none.cast("string").alias("field"), "pointer", none.cast("long").alias("row_index"), (~F.col("is_key")).alias("rewritable"), "text",
+    )
+    walked = fine.where((F.col("kind") == "csv") | ((F.col("kind") == "json") & ~plain)).mapInPandas(run, schema)
+    return texts.unionByName(parsed).unionByName(walked)
 
 
 def rebuild_records(records: DataFrame, units: DataFrame) -> DataFrame:
     """Output text of every record from its rewritten units (column ``text_out``)."""
     texts = units.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("unit_index", F.coalesce("text_out", "text").alias("t")))).alias("u"))
     joined = records.where("reason IS NULL AND kind IS NOT NULL").join(texts, KEYS, "left").select(*KEYS, "artifact_type", "kind", "record", F.col("u.t").alias("texts"))
-    schema = "artifact_id string, source_locator_hash string, record_index long, artifact_type string, kind string, record_out string"
+    schema = "artifact_id string, source_locator_hash string, record_index long, artifact_type string, kind string, record_out string, python boolean"
+    # One pass: what the JVM can put together is there already, and Python sees the rest only.
+    clear = ~F.exists(F.coalesce("texts", F.array().cast("array<string>")), lambda t: t.rlike(json_native.ODD_LETTERS))
+    native = F.when(F.col("kind") == "text", F.element_at("texts", 1)).when((F.col("kind") == "json") & clear, json_native.rebuilt(F.col("record"), F.coalesce("texts", F.array().cast("array<string>"))))
+    done = joined.withColumn("python", (F.col("kind") == "csv") | ((F.col("kind") == "json") & ~clear))
+    names = [*KEYS, "artifact_type", "kind", "record_out"]
 
     def run(batches):
         for batch in batches:
@@ -98,9 +119,10 @@ def rebuild_records(records: DataFrame, units: DataFrame) -> DataFrame:
                 rebuilt(kind, record, [] if texts is None else list(texts), "\t" if t == "TSV" else ",")
                 for t, kind, record, texts in zip(batch["artifact_type"], batch["kind"], batch["record"], batch["texts"])
             ]
+            out["python"] = True
             yield out
 
-    return joined.mapInPandas(run, schema)
+    return done.where("NOT python").withColumn("record_out", native).select(*names).unionByName(done.where("python").drop("python").mapInPandas(run, schema).select(*names))
 
 
 def assemble(records_out: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from lustrate.functions.digests import digest
 from lustrate.operators import detect, evidence, rewrite, tables, units
 from lustrate.plans.policy import Detector, Limits, Policy
 from lustrate.plans.text_queries import documents, one
+from lustrate.scratch import Scratch
 from lustrate.sources import extract, inventory
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -156,7 +157,7 @@ def files(rows, key, kind: str, text):
 
 def rebuilt_files(artifacts, policy: Policy, key: str):
     """Files extracted, cut into units, rewritten and put together again, as the engine does it."""
-    records = extract.extract_records(artifacts)
+    records = Scratch(artifacts.sparkSession, "files").save(extract.extract_records(artifacts), "records")
     found = units.scan_units(records)
     changed = found.withColumn("text_out", F.when(F.col("rewritable"), rewrite.rewrite(F.col("text"), policy, tables.applies())).otherwise(F.col("text")))
     return units.assemble(units.rebuild_records(records, changed)).select(F.col("artifact_id").cast("long").alias(key), "output")

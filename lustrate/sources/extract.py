@@ -20,6 +20,7 @@ from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lustrate.functions.digests import blake3
 from lustrate.plans.policy import Limits
@@ -336,4 +337,19 @@ def extract_records(artifacts: DataFrame, limits: Limits = Limits(), method: str
                     rows += [(a, loc, kind, i, k, text, None, covered) for i, (k, text) in enumerate(records)] or [(a, loc, kind, 0, None, None, reason, covered)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return artifacts.select("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content").mapInPandas(run, SCHEMA)
+    given = artifacts.select("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content")
+    is_text = F.coalesce(F.col("artifact_type") == "TEXT", F.lit(False))
+    return text_records(given.where(is_text), limits).unionByName(given.where(~is_text).mapInPandas(run, SCHEMA))
+
+
+def text_records(artifacts: DataFrame, limits: Limits) -> DataFrame:
+    """Records of plain texts, which need no parser and so no Python."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = artifacts.select("artifact_id", "source_locator_hash", "artifact_type", "size_bytes", F.col("content").isNull().alias("unread"), text.alias("text"))
+    large = (F.col("size_bytes") > min(limits.max_bytes_per_artifact, limits.max_workdir_bytes)) | F.col("unread") | (F.coalesce(F.length("text"), F.lit(0)) > ROW_LETTERS)
+    rows = rows.withColumn("reason", F.when(large, "LIMIT_EXCEEDED").when(F.col("text").isNull(), "PARSE_ERROR"))
+    fine = lambda value: F.when(F.col("reason").isNull(), value)
+    return rows.select(
+        "artifact_id", "source_locator_hash", "artifact_type", F.lit(0).cast("long").alias("record_index"), fine(F.lit("text")).alias("kind"), fine(F.col("text")).alias("record"), "reason",
+        fine(F.lit(COVERAGE["TEXT"])).alias("coverage"),
+    )
