@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lustrate.llm.hashing import arrow_parts
+from lustrate.llm.hashing import arrow_parts, released
 from lustrate.scratch import Scratch, spread
 
 #: Most words of the transducer: it bounds the driver's work and the file sent to executors.
@@ -430,7 +430,7 @@ def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
                             seen = Counter()
         yield rows()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, vocab_path: str, scratch: Scratch, lexicon: int = LEXICON) -> list[str]:
@@ -474,7 +474,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: int = LEXICON, with_ids: b
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op6_bpe_round_trip(spark, sf_dir):

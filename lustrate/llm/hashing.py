@@ -7,11 +7,15 @@ needs memory for its word hashes only.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
+LIBC = ctypes.CDLL(None)
 BUFFER = 1 << 18
 #: Bytes of text whose shingles are held at a time; a single longer text is a portion of its own.
 PORTION = 1 << 20
@@ -94,6 +98,25 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, dtype=U64), np.concatenate([[0], np.cumsum(counts)])
 
 
+def release() -> None:
+    """What this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
+def released(run):
+    """``run`` over the batches of a task, and then ``release``: Spark uses a worker again for later stages,
+    beside whatever the allocators of earlier ones keep for themselves."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def portions(sizes) -> list[slice]:
     """Slices of adjacent rows with at most ``PORTION`` bytes of text each, or one row."""
     cuts, held = [0], 0

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lustrate.llm.hashing import released
 from lustrate.llm.sampling import sampled
 from lustrate.scratch import Scratch, spread
 
@@ -146,7 +147,7 @@ def fit(labelled: DataFrame, vocab_path: str, per_language: int = PER_LANGUAGE)
                 yield pd.DataFrame({"lang": lang, "word": list(words.keys()), "n": list(words.values())})
 
     scratch = Scratch(spark, "lang")
-    words = scratch.save(sample.select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = scratch.save(sample.select("text", "lang").mapInPandas(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     number = {lang: i for i, lang in enumerate(languages)}
     probs = np.full((len(vocab.names), len(languages)), 1 / len(vocab.names))
     for _ in range(ROUNDS):
@@ -164,7 +165,7 @@ def fit(labelled: DataFrame, vocab_path: str, per_language: int = PER_LANGUAGE)
                 piece, language = np.nonzero(sums)
                 yield pd.DataFrame({"piece": piece, "language": language, "uses": sums[piece, language]})
 
-        rows = words.mapInPandas(expect, "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses")).toPandas()
+        rows = words.mapInPandas(released(expect), "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses")).toPandas()
         sums = np.full(probs.shape, 0.01)
         sums[rows["piece"], rows["language"]] += rows["uses"]
         probs = sums / sums.sum(axis=0)
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, vocab_path: str, languages: list[str], probs: np.nd
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def held_out(doc_id):

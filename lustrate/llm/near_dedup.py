@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lustrate.llm.hashing import arrow_parts, mix, shingle_sets
+from lustrate.llm.hashing import arrow_parts, mix, released, shingle_sets
 from lustrate.scratch import Scratch, small
 
 #: Sketch size, values entered in lists, values that similar texts share, and the sketch's leeway.
@@ -67,7 +67,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sketch = lists_of([np.sort(s[:SKETCH].view(np.int64)) for s in sets])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array([len(s) for s in sets], pa.int64()), *keys, sketch], ["doc_id", "hash", "n", "key1", "key2", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, n long, key1 long, key2 long, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(released(run), "doc_id long, hash long, n long, key1 long, key2 long, sketch array<long>")
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratc
                     linked.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in linked], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return scratch.save(both.mapInArrow(compare, "a long, b long"), label)
+    return scratch.save(both.mapInArrow(released(compare), "a long, b long"), label)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -166,7 +166,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int) -
             sets = lists_of(shingle_sets(encoded(batch.column("text")), width))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), sets], ["node", "n", "values"])
 
-    return texts_of(docs, nodes, reps).select("node", "n", "text").mapInArrow(run, "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
+    return texts_of(docs, nodes, reps).select("node", "n", "text").mapInArrow(released(run), "node long, n long, values array<long>").select("node", "n", F.explode("values").alias("value"))
 
 
 def between(entries: DataFrame, comps: DataFrame) -> DataFrame:
