@@ -42,10 +42,14 @@ def many_classes(spark, sf_dir):
 
 
 WORDS, PAIRS = "[a-z]+", "[a-z] [A-Z]"
+#: Places of many matches by a window over their lengths.
+SQL_DENSE = """SELECT doc_id, i, w, sum(gap + w) OVER (PARTITION BY doc_id ORDER BY i) - w AS s FROM (
+  SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, {size}(unnest(hits)) AS w, {size}(unnest(gaps[1:len(hits)])) AS gap
+  FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM documents WHERE regexp_matches(text, '{p}')))"""
 
 
 @query(f"""SELECT doc_id, count(*) AS n_spans, CAST(min(s) AS BIGINT) AS first_byte, CAST(max(s + w) AS BIGINT) AS last_byte, CAST(sum(s * (i % 1000)) AS BIGINT) AS fold
-FROM ({SQL_SPANS.format(kind="'w'", size="strlen", p=WORDS)}) GROUP BY doc_id""")
+FROM ({SQL_DENSE.format(size="strlen", p=WORDS)}) GROUP BY doc_id""")
 def dense_spans_bytes(spark, sf_dir):
     """Byte places of every word: thousands of spans in a text."""
     spans = documents(spark, sf_dir).select("doc_id", F.posexplode(detect.byte_spans(F.col("text"), Detector("regex", WORDS))).alias("i", "s"))
@@ -53,7 +57,7 @@ def dense_spans_bytes(spark, sf_dir):
     return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.min("s.start").cast("long").alias("first_byte"), F.max("s.end").cast("long").alias("last_byte"), fold.alias("fold"))
 
 
-@query(f"""WITH spans AS (SELECT doc_id, s, s + w AS e FROM (({SQL_SPANS.format(kind="'a'", size="length", p=WORDS)}) UNION ALL ({SQL_SPANS.format(kind="'b'", size="length", p=PAIRS)}))),
+@query(f"""WITH spans AS (SELECT doc_id, s, s + w AS e FROM (({SQL_DENSE.format(size="length", p=WORDS)}) UNION ALL ({SQL_DENSE.format(size="length", p=PAIRS)}))),
 edges AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
 islands AS (SELECT doc_id, s, e, sum(CASE WHEN before >= s THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM edges),
 merged AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, island)
