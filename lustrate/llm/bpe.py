@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lustrate.llm.hashing import arrow_parts, released
+from lustrate.llm.hashing import arrow_parts, release, released
 from lustrate.scratch import Scratch, spread
 
 #: Most words of the transducer: it bounds the driver's work and the file sent to executors.
@@ -457,6 +457,8 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: int = LEXICON, with_ids: b
     data = compile_lexicon({w.encode("utf-8"): vocab.merge(w.encode("utf-8")) for w in chosen})
     # The file lies in the shared folder; Spark copies it to every executor, also to later ones.
     spark.sparkContext.addFile(scratch.write_bytes(name, data))
+    del chosen, data
+    release()  # what the compiler took on the driver
 
     fields = [docs.schema["doc_id"], *(StructField(n, t) for n, t in (("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType())))]
     schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
