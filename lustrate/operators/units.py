@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lustrate.functions import arrow
 from lustrate.operators import json_native
 from lustrate.sources.extract import canonical, write_csv
 
 UNIT = "unit_index long, unit_kind string, place string, field string, pointer string, row_index long, rewritable boolean, text string"
+UNIT_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
 KEYS = ["artifact_id", "source_locator_hash", "record_index"]
 
 
@@ -83,9 +85,9 @@ def scan_units(records: DataFrame) -> DataFrame:
     none = F.lit(None)
 
     def run(batches):
-        for batch in batches:
-            rows = [(a, loc, i, *unit) for a, loc, i, kind, record, t in zip(*(batch[c] for c in [*KEYS, "kind", "record", "artifact_type"])) for unit in units_of(kind, record, i, t)]
-            yield pd.DataFrame(rows, columns=names).astype({"row_index": "Int64"})
+        for part in arrow.parts(batches):
+            rows = ((a, loc, i, *unit) for a, loc, i, kind, record, t in arrow.rows_of(part, [*KEYS, "kind", "record", "artifact_type"]) for unit in units_of(kind, record, i, t))
+            yield from arrow.in_batches(rows, UNIT_TYPES, names)
 
     texts = fine.where("kind = 'text'").select(
         *KEYS, F.lit(0).cast("long").alias("unit_index"), F.lit("text").alias("unit_kind"), F.lit("text").alias("place"), none.cast("string").alias("field"), none.cast("string").alias("pointer"),
@@ -97,7 +99,7 @@ def scan_units(records: DataFrame) -> DataFrame:
         *KEYS, "unit_index", F.when(F.col("is_key"), "json_key").otherwise("json_leaf").alias("unit_kind"), F.when(F.col("is_key"), F.concat(base, F.lit(":key"))).otherwise(base).alias("place"),
         none.cast("string").alias("field"), "pointer", none.cast("long").alias("row_index"), (~F.col("is_key")).alias("rewritable"), "text",
     )
-    walked = fine.where((F.col("kind") == "csv") | ((F.col("kind") == "json") & ~plain)).mapInPandas(run, schema)
+    walked = fine.where((F.col("kind") == "csv") | ((F.col("kind") == "json") & ~plain)).mapInArrow(run, schema)
     return texts.unionByName(parsed).unionByName(walked)
 
 
@@ -113,16 +115,12 @@ def rebuild_records(records: DataFrame, units: DataFrame) -> DataFrame:
     names = [*KEYS, "artifact_type", "kind", "record_out"]
 
     def run(batches):
-        for batch in batches:
-            out = batch[[*KEYS, "artifact_type", "kind"]].copy()
-            out["record_out"] = [
-                rebuilt(kind, record, [] if texts is None else list(texts), "\t" if t == "TSV" else ",")
-                for t, kind, record, texts in zip(batch["artifact_type"], batch["kind"], batch["record"], batch["texts"])
-            ]
-            out["python"] = True
-            yield out
-
-    return done.where("NOT python").withColumn("record_out", native).select(*names).unionByName(done.where("python").drop("python").mapInPandas(run, schema).select(*names))
+        for part in arrow.parts(batches):
+            out = [rebuilt(kind, record, texts or [], "\t" if t == "TSV" else ",") for t, kind, record, texts in arrow.rows_of(part, ["artifact_type", "kind", "record", "texts"])]
+            kept = [part.column(c) for c in [*KEYS, "artifact_type", "kind"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.string()), pa.array([True] * len(out))], [*names, "python"])
+
+    return done.where("NOT python").withColumn("record_out", native).select(*names).unionByName(done.where("python").drop("python").mapInArrow(run, schema).select(*names))
 
 
 def assemble(records_out: DataFrame) -> DataFrame:

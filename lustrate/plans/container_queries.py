@@ -7,17 +7,20 @@ import io
 import quopri
 import tarfile
 import zipfile
+from collections import namedtuple
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lustrate.functions import arrow
 from lustrate.plans.policy import Limits
 from lustrate.sources import extract
 
 QUERIES, ORACLE_SQL = {}, {}
 ARTIFACT = "artifact_id string, source_locator_hash string, artifact_type string, size_bytes long, content binary"
+ARTIFACT_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
 
 def query(sql: str):
@@ -36,11 +39,12 @@ def packed(rows: DataFrame, key: str, pack: Callable) -> DataFrame:
     """``rows`` as the files of a corpus; ``pack`` gives each row's type and content."""
 
     def run(batches):
-        for batch in batches:
-            files = [(str(getattr(r, key)), *pack(r)) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame([(i, "", kind, len(data), data) for i, kind, data in files], columns=[c.split()[0] for c in ARTIFACT.split(", ")])
+        for part in arrow.parts(batches):
+            named = namedtuple("Row", part.schema.names)
+            files = ((str(getattr(r, key)), *pack(r)) for r in map(named._make, arrow.rows_of(part, part.schema.names)))
+            yield from arrow.in_batches(((i, "", kind, len(data), data) for i, kind, data in files), ARTIFACT_TYPES, [c.split()[0] for c in ARTIFACT.split(", ")])
 
-    return rows.mapInPandas(run, ARTIFACT)
+    return rows.mapInArrow(run, ARTIFACT)
 
 
 def zipped(entries: list[tuple[str, bytes]]) -> bytes:
@@ -71,7 +75,7 @@ def archive_totals_guard(spark, sf_dir):
         entries = [(f"{i}.txt", b"x" * n) for i, n in enumerate(r.sizes)]
         return ("ZIP", zipped(entries)) if r.l_orderkey % 2 else ("TAR", tarred(entries))
 
-    records = extract.extract_records(packed(rows, "l_orderkey", pack), Limits(max_entries_per_archive=5, max_expanded_bytes_per_archive=120))
+    records = extract.extract_records(packed(rows, "l_orderkey", pack), Limits(max_entries_per_archive=5, max_expanded_bytes_per_archive=120), texts=False)
     sums = records.groupBy("artifact_id").agg(F.max("reason").alias("reason_code"), F.coalesce(F.sum(F.length(F.get_json_object("record", "$.text"))), F.lit(0)).cast("long").alias("letters"))
     return sums.select(F.col("artifact_id").cast("long").alias("l_orderkey"), "reason_code", "letters")
 
@@ -102,7 +106,7 @@ def hostile_archives(spark, sf_dir):
         data = zipped(text + {1: [("a/../../b.txt", b"x")], 3: [("C:\\b.txt", b"x")], 6: [("b.bin", b"\xff\xfe")]}.get(turn, []))
         return "ZIP", data[:-30] if turn == 7 else data
 
-    records = extract.extract_records(packed(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", pack))
+    records = extract.extract_records(packed(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", pack), texts=False)
     return records.select(F.col("artifact_id").cast("long").alias("p_partkey"), F.col("reason").alias("reason_code"))
 
 
@@ -117,7 +121,7 @@ def nested_archives(spark, sf_dir):
         inner = tarred([("x/2.txt", r.source.encode()), ("x/./1.txt", r.text.encode())])
         return "ZIP", zipped([("b/inner.tar", inner), ("a.txt", r.lang.encode())])
 
-    records = extract.extract_records(packed(rows, "doc_id", pack))
+    records = extract.extract_records(packed(rows, "doc_id", pack), texts=False)
     held = F.from_json("record", "archive_depth long, entry_path_hash string, container_path_hash string, text string")
     rows = records.select(F.col("artifact_id").cast("long").alias("doc_id"), "record_index", held.alias("r"))
     return rows.select("doc_id", "record_index", "r.archive_depth", "r.entry_path_hash", "r.container_path_hash", F.sha2("r.text", 256).alias("text_sha256"))
@@ -141,7 +145,7 @@ def mail_attachments(spark, sf_dir):
         head = 'Subject: =?utf-8?q?caf=C3=A9?=\nContent-Type: multipart/mixed; boundary="=cut="\n\n'
         return "EML", (head + "".join(f"--=cut=\n{p}\n" for p in parts) + "--=cut=--\n").encode()
 
-    records = extract.extract_records(packed(rows, "mail_id", pack))
+    records = extract.extract_records(packed(rows, "mail_id", pack), texts=False)
     held = F.from_json("record", "header_index long, body_index long, attachment_index long, attachment_locator_hash string, filename_hash string, entry_path_hash string, text string")
     rows = records.select(F.col("artifact_id").cast("long").alias("mail_id"), held.alias("r")).where("r.header_index IS NULL")
     return rows.select("mail_id", F.coalesce(F.col("r.attachment_index") + 1, F.lit(0)).cast("long").alias("part"), "r.attachment_locator_hash", "r.filename_hash", "r.entry_path_hash", "r.text")
@@ -155,7 +159,8 @@ def xml_text_extract(spark, sf_dir):
     """Text and attribute values of each page, one to a line."""
 
     def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": [extract.xml_text(h or "") for h in batch["html"]]})
+        for part in arrow.parts(batches):
+            texts = pa.array([extract.xml_text(h or "") for h in part.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), texts], ["page_id", "text"])
 
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id long, text string")

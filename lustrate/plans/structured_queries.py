@@ -7,8 +7,10 @@ import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lustrate.functions import arrow
 from lustrate.functions.digests import digest
 from lustrate.operators import detect, evidence, rewrite, tables, units
 from lustrate.plans.policy import Detector, Limits, Policy
@@ -305,12 +307,12 @@ def container_round_trip(spark, sf_dir):
     kinds = ("ZIP", "TAR", "DOCX", "EML", "MBOX")
 
     def pack(batches):
-        for batch in batches:
-            rows = [(str(i), "", k, len(data := build(k, t or "")), data) for i, t in zip(batch["doc_id"], batch["text"]) for k in kinds]
-            yield pd.DataFrame(rows, columns=["artifact_id", "source_locator_hash", "artifact_type", "size_bytes", "content"])
+        for part in arrow.parts(batches):
+            rows = ((str(i), "", k, len(data := build(k, t or "")), data) for i, t in arrow.rows_of(part, ["doc_id", "text"]) for k in kinds)
+            yield from arrow.in_batches(rows, [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()], ARTIFACT)
 
-    packed = documents(spark, sf_dir).select("doc_id", "text").mapInPandas(pack, "artifact_id string, source_locator_hash string, artifact_type string, size_bytes long, content binary")
+    packed = documents(spark, sf_dir).select("doc_id", "text").mapInArrow(pack, "artifact_id string, source_locator_hash string, artifact_type string, size_bytes long, content binary")
     # Deflated prose with long repeats can expand further than the default limit allows.
-    records = extract.extract_records(packed, Limits(max_expansion_ratio=2000)).where("reason IS NULL")
+    records = extract.extract_records(packed, Limits(max_expansion_ratio=2000), texts=False).where("reason IS NULL")
     rows = records.groupBy("artifact_id", "artifact_type").agg(F.count("*").alias("records"), F.max(digest(F.get_json_object("record", "$.text"))).alias("text_sha256"))
     return rows.select(F.col("artifact_id").cast("long").alias("doc_id"), "artifact_type", "records", "text_sha256")

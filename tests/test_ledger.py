@@ -2,16 +2,19 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import time
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_engine import SECRET, corpus, pack_of, policy, zipped
 
 from lustrate.__main__ import main
+from lustrate.functions import arrow
 from lustrate.operators import ordered
 from lustrate.plans import engine
 from lustrate.plans.policy import Limits
@@ -253,3 +256,33 @@ def test_flags_of_the_command_line(tmp_path, capsys):
     base = ["run", "--input", source, "--output", f"{tmp_path}/p", "--policy", rules]
     for wrong in (["--strictness", "lax"], ["--max-workers", "0"], ["--enable-tokenization", "true"], ["--enable-tokenization", "maybe"], ["--limits-json", f"{tmp_path}/none"]):
         assert main(base + wrong) == engine.USAGE
+
+
+def test_answers_of_many_items_in_order():
+    """Items go to the child together; one that takes too long, raises or ends the child costs no other."""
+
+    def work(x):
+        if x == 3:
+            time.sleep(30)
+        if x == 5:
+            os._exit(3)
+        if x == 7:
+            raise ValueError(x)
+        return x
+
+    with deadline.Timed(work, 0.4) as timed:
+        got = list(timed.answers([(x,) for x in range(10)]))
+    assert [a if done else type(a) for done, a in got] == [0, 1, 2, deadline.TimedOut, 4, deadline.Died, 6, ValueError, 8, 9]
+
+
+def test_extraction_sends_parts_of_bounded_size(spark):
+    """However many rows Spark puts into a batch, Python holds the records of about a megabyte at a time."""
+    text = "x" * 50_000
+    rows = spark.range(400).select(F.col("id").cast("string").alias("artifact_id"), F.lit("").alias("source_locator_hash"), F.lit("EML").alias("artifact_type"), F.lit(50_000).cast("long").alias("size_bytes"), F.lit(f"Subject: a\n\n{text}").cast("binary").alias("content")).coalesce(1)
+    records = extract.extract_records(rows, texts=False)
+
+    assert records.where("kind = 'json'").count() == 800
+    parts = list(arrow.parts([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([text] * 400)], ["i", "t"])]))
+    assert max(b.num_rows for b in parts) == 20 and sum(b.num_rows for b in parts) == 400
+    out = list(arrow.in_batches(((i, text) for i in range(400)), [pa.int64(), pa.string()], ["i", "t"]))
+    assert max(b.nbytes for b in out) < 1.2 * arrow.PART_BYTES and sum(b.num_rows for b in out) == 400
