@@ -5,8 +5,9 @@ from __future__ import annotations
 import base64
 import io
 import quopri
-import tarfile
+import struct
 import zipfile
+import zlib
 from collections import namedtuple
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lustrate.functions import arrow
 from lustrate.plans.policy import Limits
+from lustrate.scratch import dealt
 from lustrate.sources import extract
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -48,28 +50,33 @@ def packed(rows: DataFrame, key: str, pack: Callable) -> DataFrame:
 
 
 def zipped(entries: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in entries:
-            z.writestr(zipfile.ZipInfo(name), data)
-    return out.getvalue()
+    """A zip archive of stored files with plain names, as ``zipfile`` writes it."""
+    heads, index, at = [], [], 0
+    for name, data in entries:
+        # Versions, flags, stored, 1980-01-01, CRC, sizes, length of the name, no extra field.
+        what = struct.pack("<HHHIIIIHH", 20, 0, 0, 33 << 16, zlib.crc32(data), len(data), len(data), len(name), 0)
+        heads += [b"PK\3\4", what, name.encode("ascii"), data]
+        index += [b"PK\1\2", struct.pack("<H", 3 << 8 | 20), what, struct.pack("<HHHII", 0, 0, 0, 0o600 << 16, at), name.encode("ascii")]
+        at += 30 + len(name) + len(data)
+    size = sum(map(len, index))
+    return b"".join([*heads, *index, b"PK\5\6", struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), size, at, 0)])
 
 
 def tarred(entries: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as t:
-        for name, data in entries:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            t.addfile(info, io.BytesIO(data))
-    return out.getvalue()
+    """A tar archive of files with plain names, as ``tarfile`` writes it but for the zeros after its end."""
+    out = []
+    for name, data in entries:
+        head = b"%b0000644\0" b"0000000\0" b"0000000\0" b"%011o\0" b"00000000000\0" b"        " b"0%bustar\00000%b" % (name.encode("ascii").ljust(100, b"\0"), len(data), bytes(100), bytes(247))
+        out += [head[:148], b"%06o\0 " % extract.byte_sum(head), head[156:], data, bytes(-len(data) % 512)]
+    return b"".join([*out, bytes(1024)])
 
 
 @query("""SELECT l_orderkey, CASE WHEN count(*) > 5 OR sum(CAST(floor(l_quantity) AS BIGINT)) > 120 THEN 'LIMIT_EXCEEDED' END AS reason_code,
   CASE WHEN count(*) > 5 OR sum(CAST(floor(l_quantity) AS BIGINT)) > 120 THEN 0 ELSE CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) END AS letters FROM lineitem GROUP BY l_orderkey""")
 def archive_totals_guard(spark, sf_dir):
     """An archive for each order, with a file of as many letters as each line's quantity."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.floor("l_quantity").cast("int")).alias("sizes"))
+    # A task for so many lines, however few pieces their file has; grouping needs no other exchange.
+    rows = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", 200_000).groupBy("l_orderkey").agg(F.collect_list(F.floor("l_quantity").cast("int")).alias("sizes"))
 
     def pack(r):
         entries = [(f"{i}.txt", b"x" * n) for i, n in enumerate(r.sizes)]
@@ -106,7 +113,7 @@ def hostile_archives(spark, sf_dir):
         data = zipped(text + {1: [("a/../../b.txt", b"x")], 3: [("C:\\b.txt", b"x")], 6: [("b.bin", b"\xff\xfe")]}.get(turn, []))
         return "ZIP", data[:-30] if turn == 7 else data
 
-    records = extract.extract_records(packed(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", pack), texts=False)
+    records = extract.extract_records(packed(dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 50_000), "p_partkey", pack), texts=False)
     return records.select(F.col("artifact_id").cast("long").alias("p_partkey"), F.col("reason").alias("reason_code"))
 
 

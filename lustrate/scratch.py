@@ -68,6 +68,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by ``key`` over a task for each ``rows`` rows, and one for each core at least: for small rows
+    that make much work, where files of a few pieces (or exchanges that are coalesced by their bytes) would
+    leave most cores idle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """``df`` (a saved table) with a broadcast hint if its counted rows fit ``limit`` bytes.
 
