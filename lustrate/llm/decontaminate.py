@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all passages (``STEP`` words) of all documents.
-2. A randomised SVD of TF-IDF passages, by subspace iteration over a distributed table: tasks send
-   slices of A'(A Q), sums of ``BUCKETS x RANK`` numbers. It is fitted on a bounded sample of
-   documents (``SAMPLE``, by a hash of the id) and of the benchmark (``ITEMS``), whose rows together
-   weigh ``WEIGHT`` times the documents'. One space serves all items.
+2. A randomised SVD of TF-IDF passages, by subspace iteration over all documents and all of the
+   benchmark, whose rows together weigh ``WEIGHT`` times the documents'. Each core reads its share of
+   the rows and sends slices of A'(A Q), sums of ``BUCKETS x RANK`` numbers. One space serves all items.
 3. Candidates by cosine. A copy must hold ``RARE`` of an item's rarest words (step 4), so inverted
    lists of these words pick the documents that do; this loses nothing that step 4 would confirm.
    Around each place where such a document holds one of the item's rare words, the window that lies
@@ -36,16 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lustrate.llm.hashing import arrow_parts, release, released, word_hashes
-from lustrate.llm.sampling import sampled
-from lustrate.scratch import Scratch
 
-BUCKETS, RANK, SAMPLE, ITEMS, WEIGHT, ROUNDS = 1 << 15, 128, 3000, 20_000, 5.0, 2
+BUCKETS, RANK, WEIGHT, ROUNDS = 1 << 15, 128, 5.0, 2
 STEP, WIDTH, COSINE, COVER, ANSWER, RARE, LEAST, SHORTEST = 12, 24, 0.3, 0.6, 0.6, 0.4, 5, 4
 #: Numbers sent together, passages projected together, and places looked at together (these bound a
 #: task's memory); words of the items that are sent to tasks and searched for in one pass.
 SLICE, WINDOWS, PLACES, BLOCK_WORDS = 512, 2048, 1 << 18, 2_000_000
-#: Tasks that fit the space: each sends BUCKETS x RANK numbers, for a sample of a bounded size.
-FITTERS = 3
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -93,9 +88,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A'(A basis) for the TF-IDF passages A of ``rows`` (text, weight), summed over tasks slice by slice.
-
-    ``rows`` is a bounded sample in ``FITTERS`` partitions."""
+    """A'(A basis) for the TF-IDF passages A of ``rows`` (text, weight), summed over tasks slice by slice."""
     held = rows.sparkSession.sparkContext.broadcast((basis * idf[:, None].astype(np.float32), idf))
     shape = basis.shape  # the tasks need no second copy of the basis
 
@@ -124,27 +117,42 @@ def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
         total = reduce(np.add, (np.frombuffer(x, dtype=np.float32) for x in group["data"]))
         return pd.DataFrame({"slice": group["slice"].iloc[:1], "data": [total.tobytes()]})
 
-    parts = rows.mapInArrow(released(multiply), "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary").toPandas()
+    # Each task sends BUCKETS x RANK numbers, so there is one for each core, whatever the number of files.
+    few = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    parts = few.mapInArrow(released(multiply), "slice int, data binary").groupBy("slice").applyInPandas(add, "slice int, data binary")
+    out = np.zeros(shape, dtype=np.float32)
+    for at, data in parts.toLocalIterator():
+        out[at : at + SLICE] = np.frombuffer(data, dtype=np.float32).reshape(-1, shape[1])
     held.destroy()
-    out = np.zeros(basis.shape, dtype=np.float32)
-    for at, data in zip(parts["slice"], parts["data"]):
-        out[at : at + SLICE] = np.frombuffer(data, dtype=np.float32).reshape(-1, basis.shape[1])
     return out
 
 
-def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, passages_in_all: int, scratch: Scratch) -> np.ndarray:
-    """Word vectors (idf times the right singular vectors) of the passages' TF-IDF matrix."""
-    shares = [min(1.0, most / max(1, table.count())) for table, most in ((docs, SAMPLE), (items, ITEMS))]
-    chosen = [t.where(sampled(key, share)) for t, key, share in zip((docs, items), ("doc_id", "item_id"), shares)]
-    weight = WEIGHT * max(1.0, passages_in_all * shares[0] / 2) / max(1, chosen[1].count())
-    sample = chosen[0].select("text", F.lit(1.0).alias("weight")).unionByName(chosen[1].select("text", F.lit(weight).alias("weight")))
-    sample = scratch.save(sample.repartition(FITTERS), "sample")
-    # Single precision halves the driver's memory and is ample for a fit of a sample.
-    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((BUCKETS, RANK), dtype=np.float32))[0]
+def orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns of ``y``, in its place: directions that ``y`` lacks become zeros.
+
+    From the small matrix Y'Y in double precision, so the driver holds ``y`` and one slice besides."""
+    inner = np.zeros((y.shape[1], y.shape[1]))
+    for at in range(0, len(y), SLICE):
+        part = y[at : at + SLICE].astype(np.float64)
+        inner += part.T @ part
+    values, turn = np.linalg.eigh(inner)
+    turn = turn * np.where(values > values[-1] * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    for at in range(0, len(y), SLICE):
+        y[at : at + SLICE] = y[at : at + SLICE].astype(np.float64) @ turn
+    return y
+
+
+def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, passages_in_all: int) -> np.ndarray:
+    """Word vectors (idf times the right singular vectors) of the passages' TF-IDF matrix, over all rows."""
+    weight = WEIGHT * max(1.0, passages_in_all / 2) / max(1, items.count())
+    rows = docs.select("text", F.lit(1.0).alias("weight")).unionByName(items.select("text", F.lit(weight).alias("weight")))
+    # Single precision halves the driver's memory and is ample for these vectors.
+    basis = orthonormal(np.random.default_rng(11).standard_normal((BUCKETS, RANK), dtype=np.float32))
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(gram(sample, basis, idf))[0]
-    scratch.drop("sample")
-    return basis * idf[:, None].astype(np.float32)
+        basis = orthonormal(gram(rows, basis, idf))
+        release()
+    basis *= idf[:, None].astype(np.float32)
+    return basis
 
 
 class Item:
@@ -292,14 +300,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, cover:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    # What earlier work left on the driver, in Python and in the JVM, goes before this needs its matrices.
+    release()
+    spark._jvm.System.gc()
     counts, total = document_frequencies(docs)
     idf = np.log1p(total / (1 + counts))
     answers = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
     given = items.select(F.col("item_id").cast("long").alias("item_id"), "text", answers.alias("answer")).where("text IS NOT NULL AND item_id IS NOT NULL")
-    vectors = latent_space(docs, given, idf, total, Scratch(spark, "leaks"))
-    release()  # what the fit took on the driver
+    vectors = latent_space(docs, given, idf, total)
     # Of a fixed size: BUCKETS x RANK numbers.
     held = spark.sparkContext.broadcast((vectors, idf))
+    del vectors
+    release()
     fields = [StructField("item_id", LongType()), *(StructField(c, DoubleType()) for c in ("cosine", "cover", "answer"))]
     schema = StructType([docs.schema["doc_id"], *fields])
 

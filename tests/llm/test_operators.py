@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -314,6 +315,37 @@ def test_leaks_of_long_items_and_heavy_paraphrases(spark):
     assert got == truth
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """The word vectors are those of a subspace iteration over every passage, computed here as one dense matrix."""
+    dice = random.Random(9)
+    texts = [" ".join(f"w{dice.randrange(400)}" for _ in range(dice.randrange(1, 60))) for _ in range(3500)]
+    items = [" ".join(f"w{dice.randrange(400)}" for _ in range(20)) for _ in range(30)]
+    df = docs(spark, texts).repartition(13).select("doc_id", "text")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    counts, total = decontaminate.document_frequencies(df)
+    idf = np.log1p(total / (1 + counts))
+    found = decontaminate.latent_space(df, bench, idf, total)
+    idf_used = np.flatnonzero(counts)
+    weight, rows, scales = decontaminate.WEIGHT * (total / 2) / len(items), [], []
+    for text, heavy in [(t, 1.0) for t in texts] + [(t, weight) for t in items]:
+        cells = decontaminate.buckets(decontaminate.batch_words([text])[0])
+        for at in range(0, len(cells), decontaminate.WIDTH):
+            row = np.zeros(decontaminate.BUCKETS)
+            part = cells[at : at + decontaminate.WIDTH]
+            np.add.at(row, part, idf[part])
+            rows.append(row[idf_used])
+            scales.append(heavy / (idf[part] ** 2).sum())
+    a, scales = np.array(rows, dtype=np.float64), np.array(scales)
+    start = np.linalg.qr(np.random.default_rng(11).standard_normal((decontaminate.BUCKETS, decontaminate.RANK), dtype=np.float32))[0]
+    basis = start[idf_used].astype(np.float64)
+    for _ in range(decontaminate.ROUNDS):
+        basis = np.linalg.qr(a.T @ ((a @ basis) * scales[:, None]))[0]
+    ours = found[idf_used] / idf[idf_used, None]
+    assert np.abs(ours @ ours.T - basis @ basis.T).max() < 0.01
+    rest = np.setdiff1d(np.arange(decontaminate.BUCKETS), idf_used)
+    assert not found[rest].any()
+
+
 def test_leaks_by_length_and_kind(spark):
     """Recall for items of 4 to 500 words, in each kind of copy, in texts longer and shorter than a window."""
     rng = np.random.default_rng(24)
