@@ -87,9 +87,22 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
+def add_rows(out: np.ndarray, cells: np.ndarray, y: np.ndarray, of: np.ndarray) -> None:
+    """``out[cells] += y[of]``, all of it where cells repeat: rows of one cell are added pair by pair."""
+    order = np.argsort(cells, kind="stable")
+    cells, sums = cells[order], y[of[order]]
+    rows = np.arange(len(cells))
+    while len(firsts := np.flatnonzero(np.diff(cells, prepend=-1))) < len(cells):
+        odd = (np.arange(len(cells)) - np.repeat(firsts, np.diff(np.append(firsts, len(cells))))) & 1 == 1
+        at = np.flatnonzero(odd)
+        sums[rows[at - 1]] += sums[rows[at]]
+        cells, rows = cells[~odd], rows[~odd]
+    out[cells] += sums[rows]
+
+
 def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A'(A basis) for the TF-IDF passages A of ``rows`` (text, weight), summed over tasks slice by slice."""
-    held = rows.sparkSession.sparkContext.broadcast((basis * idf[:, None].astype(np.float32), idf))
+    held = rows.sparkSession.sparkContext.broadcast((np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), dtype=np.float32)]), idf))
     shape = basis.shape  # the tasks need no second copy of the basis
 
     def multiply(batches):
@@ -105,10 +118,11 @@ def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
                 cells, cuts = buckets(words[some[0] : end]), some - some[0]
                 of = np.repeat(np.arange(len(some)), np.diff(np.append(cuts, len(cells))))
                 norms = np.sqrt(np.maximum(np.bincount(of, weights=idf[cells] ** 2), 1e-9))
-                y = (np.add.reduceat(weighted[cells], cuts, axis=0) * (heavy / norms**2)[:, None]).astype(np.float32)
-                order = np.argsort(cells, kind="stable")
-                firsts = np.flatnonzero(np.diff(cells[order], prepend=-1))
-                out[cells[order][firsts]] += np.add.reduceat(y[of[order]], firsts, axis=0)
+                # A row of WIDTH cells for each passage; shorter ones end in a bucket of zeros.
+                wide = np.full((len(some), WIDTH), BUCKETS)
+                wide[of, np.arange(len(cells)) - cuts[of]] = cells
+                y = (weighted[wide].sum(axis=1) * (heavy / norms**2)[:, None]).astype(np.float32)
+                add_rows(out, cells, y, of)
         out *= idf[:, None]
         data = [out[i : i + SLICE].astype(np.float32).tobytes() for i in range(0, BUCKETS, SLICE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(0, BUCKETS, SLICE), pa.int32()), pa.array(data, pa.binary())], ["slice", "data"])
