@@ -15,11 +15,11 @@
    sets, without the most frequent four fifths of each (exact prefix filtering: a linked pair must
    meet in the rest). First, a few random hubs of each list are paired with the texts of other
    components, ``ROUNDS`` times: this joins loose groups, whose texts differ too much from any single
-   hub, at a few pairs a text. Then the pairs between the components that are left are filtered and
-   verified in the same way. In a list they meet only where enough values follow
-   in both texts for the overlap that their sizes ask for (positional filtering): texts with many
-   values of their own, which no hub has joined, make few pairs even in the lists of a large group.
-   Lists longer than ``BLOCK`` meet block by block.
+   hub, at a few pairs a text. Then the members of each list meet: those stay that have a member of
+   another component with enough values after the list's in both for the overlap that their sizes ask
+   for (positional filtering), and the sets of these are compared all at once, by the counts of the
+   values that they share. No pair is a row: a list gives back at most a link for each member. Lists
+   longer than ``BLOCK``, or of more than ``VALUES`` values, meet block by block.
 
 Results for odd input: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; very long texts are hashed in buffers, a text at a time; rows with one doc_id
@@ -43,8 +43,11 @@ SKETCH, LISTED, SHARED, SPREAD = 128, 32, 13, 6.0
 #: Rounds of random hubs, hubs of a list in each, and lists of a text that take part.
 ROUNDS, HUBS, LISTS = 3, 8, 4
 NEEDED_BYTES = 16 << 20
-#: Partners of a text that are compared with it in one task, and members of a list that meet there.
-GROUP, BLOCK = 4096, 1024
+#: Partners of a text that are compared with it in one task; members of a list that meet there, and values of
+#: their sets, about.
+GROUP, BLOCK, VALUES = 4096, 1024, 1 << 19
+#: Holders up to which a value's pairs are counted one by one, and cells of the products that count the others.
+FEW, CELLS = 16, 1 << 22
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -173,10 +176,132 @@ def between(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """``entries`` with their component, in lists that hold more than one component, and the number of
     ``blocks`` into which such a list falls."""
     placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / VALUES))
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks.alias("blocks"))
     return placed.join(mixed.where("x <> y").select("value", "blocks"), "value")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of ``sets`` (of distinct values) share."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    firsts = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    holders = np.diff(np.append(firsts, len(values)))
+    counts, many = np.zeros(m * m, dtype=np.float32), np.repeat(holders > FEW, holders)
+    v, o = values[~many], owner[~many]
+    for step in range(1, min(FEW, int(holders.max(initial=1)))):
+        same = np.flatnonzero(v[step:] == v[:-step])
+        if not len(same):
+            break
+        counts += np.bincount(o[same] * m + o[same + step], minlength=m * m)
+    counts = counts.reshape(m, m)
+    counts += counts.T
+    # Values with many holders: products of tables of members by values, some columns at a time.
+    column, o, width = np.repeat(np.arange(int((holders > FEW).sum())), holders[holders > FEW]), owner[many], max(1, CELLS // m)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        table = np.zeros((m, width), dtype=np.float32)
+        table[o[a:b], column[a:b] - low] = 1
+        counts += table @ table.T
+    return counts
+
+
+def joined(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of members of one list: one for each component that goes to another."""
+    shared = shared_counts(sets).astype(np.int64)
+    linked = den * shared >= num * (n[:, None] + n - shared)
+    comps, of = np.unique(comp, return_inverse=True)
+    first, second = np.nonzero(np.triu(linked & (of[:, None] != of)))
+    label = np.arange(len(comps))
+    while True:
+        x, y = label[of[first]], label[of[second]]
+        if np.array_equal(x, y):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    stands = node[np.unique(of, return_index=True)[1]]
+    moved = np.flatnonzero(label != np.arange(len(comps)))
+    return stands[moved], stands[label[moved]]
+
+
+PLACE = ["value", "low", "high"]
+
+
+def places(batches):
+    """(rows, where places start and end) of batches of rows in order of their ``PLACE``; no place is cut, and
+    only the last one of a batch, which may go on in the next, is held back."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in PLACE], axis=1)
+        starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in PLACE):
+            starts = np.concatenate([[0], starts])
+        if not len(starts):
+            held.append(batch)
+            continue
+        last = int(starts[-1])
+        yield from cut_places([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    yield from cut_places(held)
+
+
+def cut_places(rows: list[pa.RecordBatch]):
+    if rows := [x for x in rows if x.num_rows]:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        keys = np.stack([whole.column(c).to_numpy() for c in PLACE], axis=1)
+        yield whole, np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+
+
+def partnered(starts: np.ndarray, comp: np.ndarray, n: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which members of places have a partner of another component there that sizes and ranks allow."""
+    some, room = np.zeros(len(comp), dtype=bool), np.repeat(starts[1:], np.diff(starts)) - np.arange(len(comp))
+    a, step = np.flatnonzero(room > 1), 1
+    while len(a):
+        b = a + step
+        # At the first value that two texts share, what follows in both bounds the size of their intersection.
+        bound = np.minimum(n[a] - rank[a], n[b] - rank[b]) + 1
+        fits = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (bound * (num + den) >= (n[a] + n[b]) * num)
+        some[a[fits]] = some[b[fits]] = True
+        step += 1
+        a = a[room[a] > step]
+    return some
+
+
+def met(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of ``rest`` (value, blocks, node, n, rank, comp), the members of
+    lists; ``sets`` has the values of each node that another node holds too."""
+    # A long list falls into blocks by a hash; each two blocks meet in a place of their own, so the
+    # members of a place are bounded whatever a list's length.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"))))
+    members = rest.withColumn("at", meets).select("value", "at.low", "at.high", "node", "comp", "n", "rank").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    names = [*PLACE, "node", "comp", "n"]
+
+    def sift(batches):
+        for rows, starts in places(batches):
+            keep = partnered(starts, *(rows.column(c).to_numpy() for c in ("comp", "n", "rank")), num, den)
+            yield from rows.select(names).filter(pa.array(keep)).to_batches()
+
+    def compare(batches):
+        for rows, starts in places(batches):
+            node, comp, n = (rows.column(c).to_numpy() for c in ("node", "comp", "n"))
+            values, links = rows.column("values").combine_chunks(), []
+            ends, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            for low, high in zip(starts[:-1], starts[1:]):
+                sets = [flat[ends[i] : ends[i + 1]] for i in range(low, high)]
+                links.append(joined(node[low:high], comp[low:high], n[low:high], sets, num, den))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    left = members.mapInArrow(sift, ", ".join(f"{c} long" for c in names)).join(sets, "node").select(*names, "values")
+    return left.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(released(compare), "a long, b long").distinct()
+
+
 def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs that were not compared before, in either order."""
     turned = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -233,7 +358,8 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     open_nodes = scratch.save(open_nodes, "open")
     full = whole_sets(docs, open_nodes, reps, width)
     frequent = full.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
-    shared = full.join(frequent, "value")
+    shared = scratch.save(full.join(frequent, "value"), "shared-values")
+    sets = scratch.save(shared.groupBy("node").agg(F.collect_list("value").alias("values")), "sets")
     ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("lists", "value")) + F.col("n") - F.count("*").over(of_node))
     last = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     prefix = scratch.save(ranked.where(F.col("rank") <= last).select("value", "node", "n", "rank", (F.col("rank") > last - LISTS).alias("late")), "prefix")
@@ -251,19 +377,9 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
         comps = grown(comps, verified(pairs, docs, reps, scratch, f"found{turn}", width, num, den), scratch, f"comps{turn}")
 
     rest = scratch.save(between(prefix, comps), "rest-lists")
-    # A long list falls into blocks by a hash; each pair of blocks meets in a place of its own, so the
-    # members of a place are bounded whatever a list's length.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"))))
-    placed = rest.withColumn("at", meets).select("value", "at.low", "at.high", "node", "n", "rank", "comp")
-    side = lambda x: placed.select("value", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "rank", "comp")])
-    # At the first value that two texts share, what follows in both bounds the size of their intersection.
-    bound = F.least(F.expr("n_a - rank_a"), F.expr("n_b - rank_b")) + 1
-    enough = bound * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    pairs = side("a").join(side("b"), ["value", "low", "high"]).where((F.col("comp_a") < F.col("comp_b")) & sizes & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    pairs = scratch.save(likely(untried(pairs, tried), nodes, num, den, spread), "rest")
-    if pairs.head(1):
-        comps = grown(comps, verified(pairs, docs, reps, scratch, "more", width, num, den), scratch, "all")
+    links = scratch.save(met(rest, sets, num, den), "more")
+    if links.head(1):
+        comps = grown(comps, links, scratch, "all")
 
     # Rows that share an id are one document, so the classes that they fall into are linked by it.
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("k"), F.max(F.struct(*keys)).alias("l")).where("doc_id IS NOT NULL AND k <> l")
@@ -277,8 +393,8 @@ def near_groups(docs: DataFrame, width: int = 4, num: int = 80, den: int = 100,
     of_class = scratch.save(of_class.join(smallest, "comp").select(*keys, "component"), "components")
     out = rows.select("doc_id", *keys).join(of_class, keys, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    scratch.drop("nodes", "entries", "open", "prefix", "first", "rest", "rest-lists", *[f"{x}{i}" for i in range(ROUNDS) for x in ("hubs", "tried")])
-    scratch.drop(*[f"{x}{y}" for x in ("links", "more", *(f"found{i}" for i in range(ROUNDS))) for y in ("", "-needed", "-texts", "-dealt")])
+    scratch.drop("nodes", "entries", "open", "prefix", "first", "shared-values", "sets", "rest-lists", *[f"{x}{i}" for i in range(ROUNDS) for x in ("hubs", "tried")])
+    scratch.drop(*[f"{x}{y}" for x in ("links", *(f"found{i}" for i in range(ROUNDS))) for y in ("", "-needed", "-texts", "-dealt")], "more")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

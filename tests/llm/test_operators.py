@@ -596,6 +596,40 @@ def test_near_groups_match_brute_force(spark, monkeypatch, width, exact):
     assert [got[i] for i in range(len(texts))] == brute_near(texts, width, 80)
 
 
+def test_near_loose_groups_make_no_row_for_each_pair(spark, monkeypatch):
+    """A group whose texts are all alike and none of them enough: tables of pairs grow with the texts."""
+    rng, size = np.random.default_rng(9), 150
+    base, texts = [f"w{i}" for i in range(160)], []
+    for i in range(size):
+        t = list(base)
+        for at in rng.choice(160, 3, replace=False):
+            t[at] = f"own{i}x{at}"
+        texts.append(" ".join(t))
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        if set(df.columns) >= {"a", "b"}:
+            rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(size)] == [c for _, c in brute_near(texts, 4, 80)]
+    assert max(rows.values()) <= near_dedup.LISTED * size
+
+
+def test_near_counts_of_shared_values():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(200, rng.integers(0, 90), replace=False).astype(np.int64) - 100 for _ in range(60)]
+    sets += [np.array([k], dtype=np.int64) for k in (-(1 << 63), (1 << 63) - 1)] * 2
+    want = np.array([[len(set(a.tolist()) & set(b.tolist())) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    got = near_dedup.shared_counts(sets)
+    np.fill_diagonal(got, 0)
+    assert (got == want).all()
+
+
 def test_near_nulls_and_empty(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "alone")], "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_groups(rows).collect())
