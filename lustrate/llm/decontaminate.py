@@ -41,6 +41,8 @@ STEP, WIDTH, COSINE, COVER, ANSWER, RARE, LEAST, SHORTEST = 12, 24, 0.3, 0.6, 0.
 #: Numbers sent together, passages projected together, and places looked at together (these bound a
 #: task's memory); words of the items that are sent to tasks and searched for in one pass.
 SLICE, WINDOWS, PLACES, BLOCK_WORDS = 512, 2048, 1 << 18, 2_000_000
+#: Buckets whose words the fit sums by matrix products; the others are gathered word by word.
+HOT = 512
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -107,7 +109,9 @@ def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
     def multiply(batches):
         weighted, idf = held.value
-        out = np.zeros(shape)
+        hot, out, hot_sums = np.argsort(idf, kind="stable")[:HOT], np.zeros(shape), np.zeros((HOT, shape[1]))
+        place = np.full(BUCKETS, -1)
+        place[hot] = np.arange(HOT)
         for batch in arrow_parts(batches):
             words, starts = batch_words(batch.column("text").to_pylist())
             begins = passages(starts, WIDTH)
@@ -118,11 +122,24 @@ def gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
                 cells, cuts = buckets(words[some[0] : end]), some - some[0]
                 of = np.repeat(np.arange(len(some)), np.diff(np.append(cuts, len(cells))))
                 norms = np.sqrt(np.maximum(np.bincount(of, weights=idf[cells] ** 2), 1e-9))
-                # A row of WIDTH cells for each passage; shorter ones end in a bucket of zeros.
-                wide = np.full((len(some), WIDTH), BUCKETS)
-                wide[of, np.arange(len(cells)) - cuts[of]] = cells
-                y = (weighted[wide].sum(axis=1) * (heavy / norms**2)[:, None]).astype(np.float32)
+                # The most frequent buckets, which most words fall into, are summed by products of counts.
+                at = place[cells]
+                frequent = at >= 0
+                table = np.bincount(of[frequent] * HOT + at[frequent], minlength=len(some) * HOT).astype(np.float32).reshape(len(some), HOT)
+                y = table @ weighted[hot]
+                # Of the other words, the k-th ones of the passages that have so many are gathered together.
+                cells, of = cells[~frequent], of[~frequent]
+                sizes = np.bincount(of, minlength=len(some))
+                order, firsts = np.argsort(-sizes, kind="stable"), np.cumsum(sizes) - sizes
+                rest = np.zeros_like(y)
+                for k in range(int(sizes.max())):
+                    longer = order[: int((sizes > k).sum())]
+                    rest[: len(longer)] += weighted[cells[firsts[longer] + k]]
+                y[order] += rest
+                y *= (heavy / norms**2)[:, None].astype(np.float32)
+                hot_sums += table.T @ y
                 add_rows(out, cells, y, of)
+        out[hot] += hot_sums
         out *= idf[:, None]
         data = [out[i : i + SLICE].astype(np.float32).tobytes() for i in range(0, BUCKETS, SLICE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(0, BUCKETS, SLICE), pa.int32()), pa.array(data, pa.binary())], ["slice", "data"])

@@ -315,6 +315,23 @@ def test_leaks_of_long_items_and_heavy_paraphrases(spark):
     assert got == truth
 
 
+def test_fit_sums_frequent_and_other_words_alike(spark):
+    """A'(A Q) by products of counts and by gathers together is that of the plain matrix."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 5000) for n in (0, 3, 24, 25, 400, 2000)] + ["same " * 60]
+    words, starts = decontaminate.batch_words(texts)
+    idf = np.log1p(100 / (1 + np.bincount(decontaminate.buckets(words), minlength=decontaminate.BUCKETS)))
+    basis = rng.standard_normal((decontaminate.BUCKETS, 4), dtype=np.float32)
+    want = np.zeros(basis.shape)
+    for a, b in zip(starts[:-1], starts[1:]):
+        for low in range(a, b, decontaminate.WIDTH):
+            row = np.bincount(decontaminate.buckets(words[low : min(b, low + decontaminate.WIDTH)]), minlength=decontaminate.BUCKETS) * idf
+            norm = (idf[decontaminate.buckets(words[low : min(b, low + decontaminate.WIDTH)])] ** 2).sum()
+            want += np.outer(row, row @ basis) * 2 / norm
+    got = decontaminate.gram(spark.createDataFrame([(t, 2.0) for t in texts], "text string, weight double"), basis, idf)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
 def test_latent_space_is_fitted_on_all_documents(spark):
     """The word vectors are those of a subspace iteration over every passage, computed here as one dense matrix."""
     dice = random.Random(9)
